@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .schema import KEYFRAMES, POSE, RASTER
 
 
@@ -74,6 +75,7 @@ def read_npz(spark: SparkSession, folder: str, key: str, glob: str = "*.npz", su
                 name = path.rsplit("/", 1)[-1].removesuffix(suffix) + frame_suffix
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([a.shape[2] if a.ndim == 3 else 1], pa.int32()), pa.array([a.astype(np.float32).ravel()], pa.list_(pa.float32()))], names=["filename", "height", "width", "channels", "data"])
 
+    ship_package(spark)
     files = _files(spark, folder, glob).select("path", "content")
     if files.isEmpty():
         raise FileNotFoundError(f"no {glob} in {folder}")
@@ -137,6 +139,7 @@ def read_glb(spark: SparkSession, folder: str, glob: str = "*.glb") -> DataFrame
                 cols = [*(p[:, i] for i in range(3)), *(col[:, i] for i in range(4))]
                 yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(p), pa.string()), *(pa.array(x, pa.float64()) for x in cols)], names=["filename", *"xyzrgba"])
 
+    ship_package(spark)
     return _files(spark, folder, glob).select("path", "content").mapInArrow(run, "filename string, " + ", ".join(f"{x} double" for x in "xyzrgba"))
 
 
