@@ -3,7 +3,8 @@
 The 64 bits are grouped into partitions of correlated bits. Partition i gets a radius t_i >= -1 with
 sum(t_i) = radius - partitions + 1, so that any two fingerprints within the radius agree up to t_i
 differing bits in some partition i (-1: the partition is not used). A dynamic programme picks
-the radii, and the number of partitions, that cost least by candidate counts estimated over all fingerprints.
+the radii that cost least by candidate counts estimated over all fingerprints. The number of partitions is a parameter, the
+same at every size, so that rows probed follow the fingerprints; fewer partitions probe more and meet fewer by chance.
 """
 
 from __future__ import annotations
@@ -151,8 +152,8 @@ def allocate(cost: np.ndarray, radius: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan_search(fps: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
-    """Partitions with their radii, for the number of partitions that is estimated to cost least."""
+def plan_search(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3,)) -> list[tuple[list[int], int]]:
+    """Partitions with their radii, of the numbers of partitions offered the one that is estimated to cost least."""
     n, both = bit_statistics(fps)
     p = np.diag(both) / max(n, 1)
     grouped = {m: group_bits(n, both, m) for m in choices if m <= radius + 1}
