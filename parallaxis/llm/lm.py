@@ -31,7 +31,7 @@ class LmRules:
     add: float = 0.1
     pull: float = 2000.0
     state_share: float = 2e-5
-    block_tokens: int = 1_500_000
+    block_tokens: int = 2_500_000
 
 
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0))  # no word is empty
@@ -161,7 +161,7 @@ def lm_scores(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: s
     states = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
     norm = total + rules.add * (kinds + 1)
     rare_mass = 1.0 - sum((r["n"] + rules.add) / norm for r in found)
-    blocks = max(1, -(-total // rules.block_tokens)) * 2
+    blocks = max(1, -(-total // rules.block_tokens))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)).cast("int")).repartition("block")
 
     def ask(key, table):
