@@ -229,6 +229,61 @@ def test_lines_keep_one_of_each_group(spark):
     assert (got[1].n_lines, got[1].n_dropped) == (3, 1)
 
 
+def test_line_groups_against_all_pairs(spark):
+    rng = random.Random(8)
+    few, many = ["the", "of", "to", "and", "in", "a"], [f"word{i}x" for i in range(500)]
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(few) if rng.random() < 0.6 else rng.choice(many) for _ in range(rng.randint(5, 140))]
+        lines.append(base)
+        for _ in range(rng.randint(0, 4)):
+            other = list(base)
+            other[rng.randrange(len(other))] = rng.choice(many)
+            lines.append(other)
+    # A key of more than KEY_LINES lines, whose lines are not all alike; and lines of frequent words alone.
+    lines += [["same"] * 90 + [rng.choice(many) for _ in range(10)] for _ in range(80)]
+    lines += [[rng.choice(few) for _ in range(40)] for _ in range(40)]
+    norm = [" ".join(w) for w in lines]
+
+    def plain(words):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    def edits(a, b):
+        row = np.arange(len(b) + 1)
+        codes = np.array([ord(c) for c in b])
+        for i, c in enumerate(a, 1):
+            step = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+            row = np.minimum.accumulate(np.concatenate([[i], step]) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+        return row[-1]
+
+    sims = [(plain(w), plain([x for x in w if len(x) >= 4]) & 0x00FF00FF00FF00FF) for w in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            band = math.floor(0.2 * max(len(norm[i]), len(norm[j])) + 1e-9)
+            near = (sims[i][0] ^ sims[j][0]).bit_count() <= 3 and (sims[i][1] ^ sims[j][1]).bit_count() <= 8
+            if norm[i] == norm[j] or near and abs(len(norm[i]) - len(norm[j])) <= band and edits(norm[i], norm[j]) <= band:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(norm)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {i for i in range(len(lines)) if root[i] != i}
+    assert len(set(root)) < len(lines) - 60
+
+
+def test_very_long_lines_are_hashed_alike(spark, monkeypatch):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "of", "token", "letters", "another"]) for _ in range(rng.randint(5, 400)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.id: (r.sim, r.long) for r in linededup._line_hashes(df, "doc_id", "text").collect()}
+    monkeypatch.setattr(linededup, "LANE_WORDS", 60)
+    spilled = linededup._words(df, "doc_id", "text", 60).where("n > 60").withColumn("far", F.expr("filter(words, w -> length(w) >= 4)"))
+    got = {r.id: (r.sim, r.long) for r in spilled.select("id", F.expr(linededup.simhash_sql("words")).alias("sim"), F.expr(linededup.simhash_sql("far")).bitwiseAND(F.lit(0x00FF00FF00FF00FF)).alias("long")).collect()}
+    assert got and all(want[i] == v for i, v in got.items())
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000])
 def test_shards_are_level_and_gapless(spark, n):
     df = spark.range(n).withColumn("shard_", F.lit(0))
