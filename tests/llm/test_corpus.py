@@ -361,3 +361,14 @@ def test_crc_fold_matches_zlib(spark):
 def test_groups_name_every_occurrence(spark):
     occ, groups = line_groups(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e\nf g h i j")], "doc_id long, text string"), "doc_id", "text")
     assert occ.count() == 3 and [r.group_size for r in groups.collect()] == [2]
+
+
+@pytest.mark.parametrize("times", [2, 1000])
+def test_lines_near_a_repeated_row_are_found(spark, times):
+    rng = random.Random(11)
+    base = [f"word{rng.randrange(10**6)}x" for _ in range(200)]
+    near = [*base[:100], "other", *base[101:]]
+    unlike = " ".join(f"term{rng.randrange(10**6)}y" for _ in range(200))
+    rows = [(1, " ".join(base))] * times + [(2, " ".join(near))] + [(3, unlike)] * times
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_dropped) for r in got} == {(1, 0), (2, 1), (3, 0)}
