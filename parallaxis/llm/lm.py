@@ -5,8 +5,8 @@ p(w | u) = (c(u, w) + k p(w)) / (c(u) + k); words that are no state share the cl
 and p(w | u) = p(rare | u) p(w) / p(rare). So every state has an arc for each seen successor, a failure arc of
 weight k / (c(u) + k) to the root, and probabilities that add up to 1.
 
-State words are those with at least state_share of all training tokens, 1 / state_share words at most whatever
-the corpus. Counts of words and pairs are exact and never leave the executors: a block of documents asks for the
+Every training word is a state, so every bigram seen in training has its arc and `rare` holds the unknown words alone. Only with a
+state_share above 0 are states the words with at least this share of all training tokens, 1 / state_share words at most. Counts of words and pairs are exact and never leave the executors: a block of documents asks for the
 n-grams it holds, the answers are joined to the block and its documents are run through the block's automaton.
 """
 
@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise, small_batches
@@ -30,7 +30,7 @@ from .textvec import mix
 class LmRules:
     add: float = 0.1
     pull: float = 2000.0
-    state_share: float = 2e-5
+    state_share: float = 0.0
     block_tokens: int = 2_500_000
 
 
@@ -63,14 +63,14 @@ def _index(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Automaton:
     """States, arcs and failure arcs for the n-grams of one block."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, states: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, rare_mass: float, rules: LmRules) -> None:
-        """words and pairs: ascending hashes with their counts in training. total: tokens there, kinds: distinct ones."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, states: np.ndarray | None, pairs: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, rare_mass: float, rules: LmRules) -> None:
+        """words and pairs: ascending hashes with their counts in training; states: those of the state words, None for all words. total: tokens there, kinds: distinct ones."""
         self.words, self.pairs, self.pair_counts = words, pairs, pair_counts
         self.floor = np.log10(rules.add / (total + rules.add * (kinds + 1)))
         self.p = (counts + rules.add) / (total + rules.add * (kinds + 1))
         self.log = np.append(np.log10(self.p), self.floor)  # the last is that of unknown words
         self.counts = counts
-        self.is_state = np.append(_index(states, words) >= 0, False)
+        self.is_state = np.append(np.ones(len(words), dtype=bool) if states is None else _index(states, words) >= 0, False)
         self.fail = np.log10(rules.pull / (counts + rules.pull))
         self.rare_mass, self.rules = max(rare_mass, 1e-300), rules
 
@@ -156,40 +156,48 @@ def lm_scores(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: s
     src = df.select(F.col(id_col).alias("_id"), F.coalesce(trains, F.lit(False)).alias("_train"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     counts = materialise(src.where("_train").select("_t").mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    limit = max(1, int(np.ceil(total * rules.state_share)))
-    found = counts.where(F.col("n") >= limit).collect() if total else []  # 1 / state_share rows at most
-    states = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
     norm = total + rules.add * (kinds + 1)
-    rare_mass = 1.0 - sum((r["n"] + rules.add) / norm for r in found)
+    if rules.state_share > 0:
+        limit = max(1, int(np.ceil(total * rules.state_share)))
+        found = counts.where(F.col("n") >= limit).collect() if total else []  # 1 / state_share rows at most
+        states = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
+        rare_mass = 1.0 - sum((r["n"] + rules.add) / norm for r in found)
+    else:
+        states, rare_mass = None, rules.add / norm
     blocks = max(1, -(-total // rules.block_tokens))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)).cast("int")).repartition("block")
 
+    def pairs_of(hs: list[np.ndarray], train: list) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some texts that may be arcs, and whether each stands in a training row."""
+        h = np.concatenate(hs)
+        lens = [len(x) for x in hs]
+        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        state = np.ones(len(h), dtype=bool) if states is None else _index(states, h) >= 0
+        succ = np.where(state, h, RARE)
+        before, alive = np.concatenate([[END], h[:-1]]), np.concatenate([[True], state[:-1]])
+        before[first], alive[first] = END, states is None or bool(_index(states, np.array([END]))[0] >= 0)
+        on = np.repeat(np.array(train, dtype=bool), lens)
+        return _pair(before[alive], succ[alive]), on[alive]
+
     def ask(key, table):
         """Distinct words and pairs of a block, with the pairs' counts in its training rows."""
         words, pairs, trained = [], [], []
         texts, train = table.column("_t").to_pylist(), table.column("_train").to_pylist()
         for lo in range(0, len(texts), 2048):
             hs = [token_hashes(t) for t in texts[lo : lo + 2048]]
-            h = np.concatenate(hs)
-            ends = np.cumsum([len(x) for x in hs])
-            words.append(np.unique(h))
-            state = _index(states, h) >= 0
-            succ = np.where(state, h, RARE)
-            before, alive = np.concatenate([[END], h[:-1]]), np.concatenate([[True], state[:-1]])
-            first = np.concatenate([[0], ends[:-1]])
-            before[first], alive[first] = END, bool(_index(states, np.array([END]))[0] >= 0)
-            on = np.repeat(np.array(train[lo : lo + 2048], dtype=bool), np.diff(np.concatenate([[0], ends])))
-            pairs.append(_pair(before[alive], succ[alive]))
-            trained.append(on[alive])
+            words.append(np.unique(np.concatenate(hs)))
+            for held, part in zip((pairs, trained), pairs_of(hs, train[lo : lo + 2048]), strict=True):
+                held.append(part)
         w = np.unique(np.concatenate(words))
         p, where = np.unique(np.concatenate(pairs), return_inverse=True)
         n = np.bincount(where, weights=np.concatenate(trained), minlength=len(p)).astype(np.int64)
         return pa.table({"block": pa.array(np.full(len(w) + len(p), key[0].as_py(), np.int32)), "pair": pa.array(np.arange(len(w) + len(p)) >= len(w)), "h": pa.array(np.concatenate([w, p]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(len(w), np.int64), n]))})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, pair boolean, h long, n long").repartition("pair", "h")
-    sums = asked.where("pair").groupBy("pair", "h").agg(F.sum("n").alias("total")).where("total > 0")
-    known = sums.unionByName(counts.select(F.lit(False).alias("pair"), "h", F.col("n").alias("total")))
-    answers = asked.select("block", "pair", "h").join(known, ["pair", "h"]).select("block", "pair", "h", "total")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, pair boolean, h long, n long")
+    counted = asked.unionByName(counts.select(F.lit(-1).alias("block"), F.lit(False).alias("pair"), "h", "n"))
+    # One pass over what all blocks ask. Pairs that no other block counts are not sent back: a block knows them itself.
+    totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy("pair", "h")))
+    answers = totals.where("block >= 0 and total > 0 and (not pair or total <> n)").select("block", "pair", "h", "total")
 
     def run(key, docs, got):
         texts = docs.column("_t").to_pylist()
@@ -200,10 +208,19 @@ def lm_scores(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: s
             order = np.argsort(h[on])
             return h[on][order], n[on][order]
 
-        model = Automaton(*pick(~pair), states, *pick(pair), total, kinds, rare_mass, rules)
+        train, own = docs.column("_train").to_pylist(), []
+        hashed = [[token_hashes(t) for t in texts[lo : lo + 1024]] for lo in range(0, len(texts), 1024)]
+        for k, hs in enumerate(hashed):
+            found, on = pairs_of(hs, train[1024 * k : 1024 * (k + 1)])
+            own.append(found[on])
+        mine, times = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
+        asked_for, answered = pick(pair)
+        alone = _index(asked_for, mine) < 0
+        pairs, pair_counts = np.concatenate([mine[alone], asked_for]), np.concatenate([times[alone], answered])
+        order = np.argsort(pairs)
+        model = Automaton(*pick(~pair), states, pairs[order], pair_counts[order], total, kinds, rare_mass, rules)
         cols = [[], [], [], []]
-        for lo in range(0, len(texts), 1024):
-            hs = [token_hashes(t) for t in texts[lo : lo + 1024]]
+        for hs in hashed:
             lens = np.array([len(x) for x in hs], dtype=np.int64)
             base, known_n, score = model.score(np.concatenate(hs), np.cumsum(lens))
             for col, part in zip(cols, (lens, known_n, base, score), strict=True):

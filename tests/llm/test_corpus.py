@@ -382,3 +382,22 @@ def test_lines_that_differ_in_their_only_long_word_are_linked(spark):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     # As many as the first SimHash finds: four in five, by the reviewer's simulation.
     assert sum(r.n_dropped for r in got) > 25
+
+
+@pytest.mark.parametrize("block_tokens", [2_500_000, 2000])
+def test_lm_counts_every_bigram_of_training(spark, block_tokens):
+    rng = random.Random(13)
+    often = ["the of"] * 40_000  # makes a word that stands three times far rarer than 2e-5 of all tokens
+    texts = [" ".join(often), *(f"filler{i} seldom phrase {rng.choice('abc')}" for i in range(3)), "seldom phrase a", "seldom never phrase", ""] + [f"w{rng.randrange(50)} w{rng.randrange(50)} the" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {4, 5, 9, 60}
+    got = {r.doc_id: r for r in lm_scores(df, ~F.col("doc_id").isin(*held), rules=LmRules(block_tokens=block_tokens)).collect()}
+    toks = [[*WORD.findall(t), None] for t in texts]
+    c = Counter(w for i, t in enumerate(toks) if i not in held for w in t)
+    n, v, pull = sum(c.values()), len(c), LmRules().pull
+    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    pair = Counter(x for i, t in enumerate(toks) if i not in held for x in zip([None, *t], t, strict=False))
+    assert c["seldom"] < 2e-5 * n * 2 and pair["seldom", "phrase"] == 3
+    for i, t in enumerate(toks):
+        steps = zip([None, *t], t, strict=False)
+        assert got[i].score == pytest.approx(sum(math.log10((pair[u, w] + pull * p(w)) / (c[u] + pull)) if c[u] else math.log10(p(w)) for u, w in steps))
