@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runtime import free_name, materialise, small_batches
+from .textvec import LOWER, mix, texts_of
 
 BITS = 64
 #: Fingerprints that share a key and are compared at once; more are dealt into a grid of cells.
@@ -310,7 +311,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """The input's columns, one row of each group of near-duplicates: that of the smallest id (null last),
     and among rows of this id that of the smallest text hash; of wholly alike ones, any."""
-    marked = materialise(near_duplicates(df, id_col, text_col, radius, shingle))
+    return _first_of_each(df, materialise(near_duplicates(df, id_col, text_col, radius, shingle)), id_col, text_col)
+
+
+def _first_of_each(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of df for each root in marked (id, text_hash, root)."""
     chosen = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("n"))
     keep = chosen.select(F.col("first.id").alias("_kid"), F.col("first.h").alias("_kh"))
     h = free_name(df, "_text_hash")
@@ -322,3 +327,99 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # Rows alike in id and text: one of them, whatever their other columns hold.
     many = kept.join(repeated, alike, "left_semi").dropDuplicates([id_col, h])
     return once.union(many).select(*df.columns)
+
+
+# Shingle sets
+
+#: Sets of a key up to which all its pairs are listed at once; those of a larger key meet its first and last set before.
+KEY_SETS = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(column: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
+    """For each text the ascending hashes of its word shingles, each once. Fewer words than a shingle make one; no word, none."""
+    for _, _, texts in texts_of(column, LOWER):
+        words = texts.hashes()
+        for k in range(texts.n):
+            w = words[texts.first[k] : texts.first[k + 1]]
+            size = min(shingle, len(w))
+            h = np.full(max(len(w) - size + 1, 0) if size else 0, size, dtype=np.uint64)
+            for i in range(size):
+                h = mix(h * _STEP + w[i : i + len(h)])
+            yield np.unique(h)
+
+
+def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, whole: bool) -> DataFrame:
+    """keep (two longs or so), fp (a hash of the set), n (its size) and its hashes: all of them, or those one of which similar sets share.
+
+    Sets of similarity t have t * n hashes in common at least, so one is among the n - t * n + 1 smallest of either, whatever the order.
+    """
+    small_batches(df.sparkSession)
+    names = [*keep, "fp", "n", "hashes"]
+    src = df.select(*keep, "_text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "fp long, n long, hashes array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, held = [], [], []
+            for h in shingle_sets(batch.column(len(keep)), shingle):
+                fps.append(mix(np.atleast_1d(mix(h + _STEP).sum(dtype=np.uint64)))[0] if len(h) else np.uint64(0))
+                sizes.append(len(h))
+                held.append(h if whole else h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            flat = np.concatenate([*held, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+
+    return src.mapInArrow(run, schema)
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id, text_hash, fp (a hash of its shingle set) and root, equal for the texts of a group.
+
+    Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`; all such pairs are found or lie in
+    one group already. Texts without a word are alike. Pairs are listed for keys of KEY_SETS sets at most; sets of a larger
+    key are first linked to its first and last one, pairs are then listed for sets that lie in different groups still.
+    """
+    src = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = materialise(_set_rows(src, ["_id", "text_hash"], shingle, similarity, False))
+    marked = rows.select("_id", "text_hash", "fp")
+    sets = rows.groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
+    keyed = materialise(sets.select("fp", "n", F.posexplode("hashes").alias("pos", "key")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("sets > 1")
+    met = materialise(keyed.join(shared, "key"))
+    need = f"ceil({similarity} / {1 + similarity} * (na + nb) - 1e-9)"
+    # Hashes before the smallest one in common lie in one of the sets only.
+    can = F.expr(f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9 and posa + posb <= na + nb - 2 * {need}")
+    side = lambda t, x, *more: t.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"pos{x}"), *(F.col(c).alias(f"{c}{x}") for c in more))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        at = marked.join(wanted, "fp").dropDuplicates(["fp"]).select(F.col("_id").alias("_aid"), F.col("text_hash").alias("_ah"))
+        texts = src.join(at, src["_id"].eqNullSafe(F.col("_aid")) & (src["text_hash"] == F.col("_ah"))).select("_text")
+        full = materialise(_set_rows(texts, [], shingle, similarity, True).dropDuplicates(["fp"]))
+        one = lambda x: full.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
+        both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+        return materialise(both.where(f"size(array_intersect(ha, hb)) >= {need}").select("a", "b"))
+
+    cold, hot = met.where(F.col("sets") <= KEY_SETS), met.where(F.col("sets") > KEY_SETS)
+    x, y = side(cold, "a"), side(cold, "b")
+    pairs = x.join(y, (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & can).select("a", "b")
+    sized = sets.select(F.col("fp").alias("end"), F.col("n").alias("nb"))
+    ends = hot.select("fp", F.col("n").alias("na"), F.explode(F.array("lo", "hi")).alias("end")).where("fp <> end").distinct().join(sized, "end")
+    near = ends.where(f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9").select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
+    tried = materialise(pairs.union(near).distinct())
+    links = verified(tried)
+    roots = materialise(connected_components(links))
+    if not hot.isEmpty():
+        placed = hot.join(roots, hot["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+        x, y = side(placed, "a", "root"), side(placed, "b", "root")
+        rest = x.join(y, (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & can).select("a", "b").distinct()
+        rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = materialise(connected_components(links.union(verified(rest))))
+    return marked.join(roots, marked["fp"] == roots["node"], "left").select(F.col("_id").alias(id_col), "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The input's columns, one row of each group of similar_texts, chosen as by drop_near_duplicates."""
+    return _first_of_each(df, materialise(similar_texts(df, id_col, text_col, shingle, similarity)), id_col, text_col)

@@ -401,3 +401,35 @@ def test_lm_counts_every_bigram_of_training(spark, block_tokens):
     for i, t in enumerate(toks):
         steps = zip([None, *t], t, strict=False)
         assert got[i].score == pytest.approx(sum(math.log10((pair[u, w] + pull * p(w)) / (c[u] + pull)) if c[u] else math.log10(p(w)) for u, w in steps))
+
+
+def test_pipeline_drops_documents_of_similar_shingle_sets(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    texts = ["", "  ", "one two", "ONE  two", "one two three"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 150))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            other = list(base)
+            for _ in range(rng.randint(1, 4)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(other))
+    # A passage of more than KEY_SETS documents, and a large group of near copies.
+    passage = [f"p{i}" for i in range(100)]
+    texts += [" ".join([*passage, *(f"y{i}z{j}" for j in range(i % 40))]) for i in range(90)]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_copies(spark, docs, str(SF)).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(len(texts)) if root[i] == i]
+    assert len(set(root)) < len(texts) - 60
