@@ -433,3 +433,19 @@ def test_pipeline_drops_documents_of_similar_shingle_sets(spark):
     kept = corpus_pipeline.drop_copies(spark, docs, str(SF)).collect()
     assert sorted(r.doc_id for r in kept) == [i for i in range(len(texts)) if root[i] == i]
     assert len(set(root)) < len(texts) - 60
+
+
+def test_lines_of_edit_similarity_are_found(spark):
+    rng = random.Random(15)
+    rows, sizes = [], [(8, 1), (15, 2), (20, 2), (50, 5), (100, 10)]
+    for n, changed in sizes:
+        for _ in range(40):
+            base = [f"{rng.randrange(10**6):06d}" for _ in range(n)]
+            other = list(base)
+            for at in rng.sample(range(n), changed):
+                other[at] = f"{rng.randrange(10**6):06d}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id % 2 for r in got if r.n_dropped)
+    found = Counter(r.doc_id // 80 for r in got if r.n_dropped)
+    assert all(found[i] >= 34 for i in range(len(sizes))), found
