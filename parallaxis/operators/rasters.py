@@ -22,20 +22,20 @@ def mask_source_pixel(v, u, mask_h, mask_w, resized_h, resized_w, crop_top, crop
     return nearest_source(rv, resized_h, mask_h), nearest_source(ru, resized_w, mask_w)
 
 
-def bilinear(values: Column, v, u, src_h: int, src_w: int, dst_h: int, dst_w: int) -> Column:
+def bilinear(values: Column, v, u, src_h, src_w, dst_h, dst_w) -> Column:
     """Bilinear sample of a packed raster with half-pixel centres and edge clamp."""
 
-    def axis(i, src: int, dst: int) -> tuple[Column, Column, Column]:
-        s = (c(i) + F.lit(0.5)) * F.lit(src / dst) - F.lit(0.5)
+    def axis(i, src, dst) -> tuple[Column, Column, Column]:
+        s = (c(i) + F.lit(0.5)) * (c(src) / c(dst)) - F.lit(0.5)
         lo = F.floor(s)
         f = s - lo
-        a = F.greatest(F.least(lo, F.lit(src - 1)), F.lit(0)).cast("int")
-        b = F.greatest(F.least(lo + 1, F.lit(src - 1)), F.lit(0)).cast("int")
+        a = F.greatest(F.least(lo, c(src) - 1), F.lit(0)).cast("int")
+        b = F.greatest(F.least(lo + 1, c(src) - 1), F.lit(0)).cast("int")
         return a, b, f
 
     v0, v1, fv = axis(v, src_h, dst_h)
     u0, u1, fu = axis(u, src_w, dst_w)
-    g = lambda y, x: F.get(values, y * src_w + x)
+    g = lambda y, x: F.get(values, y * c(src_w) + x)
     return (g(v0, u0) * (1 - fu) + g(v0, u1) * fu) * (1 - fv) + (g(v1, u0) * (1 - fu) + g(v1, u1) * fu) * fv
 
 

@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import depth_agrees, inside_float, quat_to_matrix, to_camera, to_original, truncated
-from ..operators.rasters import fix_orientation
+from ..functions.geometry import c, depth_agrees, inside_float, nearest_source, quat_to_matrix, to_camera, to_original, truncated
+from ..operators.rasters import bilinear, fix_orientation, mask_source_pixel
 from ..operators.relational import candidates, last_wins, ordinal, painted
 from ..operators.voting import camera_matrices, vote_rasters
 from ..sources.readers import pixels, read_npz, read_poses
 
 
+def fitted_mask(height, width) -> Column:
+    """The mask in (data, height_m, width_m) at this size, 1 where it is set (F8): as it is if of this size; else, if the pose has
+    resized_*, resized to that and cut at crop_left and crop_top, 0 outside; else resized to this size."""
+    height, width, mh, mw = c(height), c(width), F.col("height_m"), F.col("width_m")
+    rh, rw = F.coalesce("resized_height", height), F.coalesce("resized_width", width)
+    resized = F.col("resized_height").isNotNull() & F.col("resized_width").isNotNull()
+    top, left = (F.coalesce(x, F.lit(0.0)) for x in ("crop_top", "crop_left"))
+
+    def at(i: Column) -> Column:
+        v, u = F.floor(i / width), i % width
+        sv, su = mask_source_pixel(v, u, mh, mw, rh, rw, top, left)
+        rv, ru = v + F.bround(top), u + F.bround(left)
+        cut = F.when((rv >= 0) & (rv < rh) & (ru >= 0) & (ru < rw), F.get("data", sv * mw + su))
+        plain = F.get("data", nearest_source(v, height, mh) * mw + nearest_source(u, width, mw))
+        value = F.when((mh == height) & (mw == width), F.get("data", i)).when(resized, cut).otherwise(plain)
+        return F.coalesce(value > 0.5, F.lit(False)).cast("tinyint")
+
+    return F.transform(F.sequence(F.lit(0), (height * width - 1).cast("int")), at)
+
+
+def fitted_depth(height: int, width: int) -> Column:
+    """The depth in (data, height, width) at this size: as it is, or by a bilinear resize."""
+    grid = F.sequence(F.lit(0), F.lit(height * width - 1))
+    resized = F.transform(grid, lambda i: bilinear(F.col("data"), F.floor(i / width), i % width, F.col("height"), F.col("width"), height, width).cast("float"))
+    return F.when((F.col("height") == height) & (F.col("width") == width), F.col("data")).otherwise(resized)
+
+
 def segment_points(spark: SparkSession, poses_path: str, masks_dir: str, depths_dir: str, points_dir: str, min_votes: int = 2, depth_abs: float = 0.03, depth_rel: float = 0.05) -> DataFrame:
     """Points under a mask that at least min_votes cameras agree on (x, y, z, votes).
 
     All cameras use the raster size of the first pose (F6, F11): the size in the pose, else that of its points; masks are
-    brought to this size by nearest lookup. Cameras without a mask never vote; without a depth only points near 0 agree.
+    brought to this size by the pose's resize and crop or by nearest lookup (F8), for candidates to the size of the frame's points, and
+    depths by a bilinear resize (F9). Cameras without a mask never vote; without a depth only points near 0 agree.
     """
     poses = ordinal(last_wins(read_poses(spark, poses_path), "filename", "frame_idx"), ["filename"], "cam")
     points = read_npz(spark, points_dir, "pts3d", "*_pts3d.npz", "_pts3d.npz")
@@ -29,14 +57,15 @@ def segment_points(spark: SparkSession, poses_path: str, masks_dir: str, depths_
         raise ValueError("neither points nor the pose give a raster size")
     cameras = camera_matrices(poses, width, height)
 
-    masks = read_npz(spark, masks_dir, "mask")
-    fitted = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: (F.get("data", (F.floor(F.floor(i / width) * F.col("height") / height) * F.col("width") + F.floor((i % width) * F.col("width") / width)).cast("int")) > 0.5).cast("tinyint"))
-    mask = masks.select("filename", fitted.alias("mask"))
-    depth = read_npz(spark, depths_dir, "depth", "*_depth.npz", "_depth.npz").select("filename", F.col("data").alias("depth"))
+    masks = read_npz(spark, masks_dir, "mask").withColumnsRenamed({"height": "height_m", "width": "width_m"})
+    posed = masks.join(poses.select("filename", "resized_width", "resized_height", "crop_left", "crop_top"), "filename")
+    mask = posed.select("filename", fitted_mask(height, width).alias("mask"))
+    depth = read_npz(spark, depths_dir, "depth", "*_depth.npz", "_depth.npz").select("filename", fitted_depth(height, width).alias("depth"))
     rasters = poses.select("filename", "cam").join(mask, "filename").join(depth, "filename", "left").select("cam", "mask", "depth")
 
     cloud = pixels(points, "x", "y", "z").join(pixels(conf, "c"), ["filename", "v", "u"]).withColumn("conf", F.col("c") > 0)
-    flat = mask.withColumnRenamed("mask", "data").withColumns({"height": F.lit(height), "width": F.lit(width)})
+    sized = posed.join(points.select("filename", "height", "width"), "filename")
+    flat = sized.select("filename", "height", "width", fitted_mask("height", "width").alias("data"))
     kept = candidates(cloud.join(poses.select("filename"), "filename", "left_semi"), pixels(flat, "m"), ["filename", "v", "u"])
     keyed = kept.select(F.xxhash64("filename", "v", "u").alias("point"), *(F.col(x).cast("double").alias(x) for x in "xyz"))
     votes = vote_rasters(keyed, cameras, rasters, "point", width, height, min_votes, depth_abs, depth_rel)

@@ -56,3 +56,31 @@ def test_raster_and_scene_round_trips(spark, tmp_path):
 def test_missing_files_raise(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         R.read_npz(spark, str(tmp_path), "pts3d")
+
+
+@pytest.mark.parametrize("case", ["crop", "depth"])
+def test_segmenting_undoes_crops_and_resizes_depths(spark, tmp_path, case):
+    h, w = 6, 8
+    for sub in ("masks", "depths", "pts"):
+        (tmp_path / sub).mkdir()
+    # Masks of 20 x 24 are resized to 10 x 12, then cut at top 2 and left 2 (2.5 to even).
+    more = {"resized_width": 12, "resized_height": 10, "crop_left": 2.5, "crop_top": 2.0} if case == "crop" else {}
+    poses = [pose(0, "a.jpg", **more), pose(1, "b.jpg", **more) | {"tx": 0.0}]
+    (tmp_path / "poses.json").write_text(json.dumps(poses, indent=2))
+    v, u = np.mgrid[:h, :w]
+    z = 2.0 + 0.5 * u
+    pts = np.stack([(u + 0.5 - w / 2) / 8 * z, (v + 0.5 - h / 2) / 8 * z, z], -1).astype(np.float32)
+    big = np.zeros((20, 24), np.uint8)
+    big[8:14, 6:14] = 1
+    want = big[::2, ::2][2 : 2 + h, 2 : 2 + w] if case == "crop" else np.ones((h, w), np.uint8)
+    # A depth of half the width: 2.25 + u, between its columns a plane with half-pixel centres, its ends clamped.
+    depth = np.tile(2.25 + np.arange(w // 2), (h, 1)).astype(np.float32) if case == "depth" else z.astype(np.float32)
+    if case == "depth":
+        want = want * ((u > 0) & (u < w - 1))
+    for n in ("a", "b"):
+        np.savez_compressed(tmp_path / "pts" / f"{n}_pts3d.npz", pts3d=pts, mask=np.ones((h, w), bool))
+        np.savez_compressed(tmp_path / "depths" / f"{n}_depth.npz", depth=depth)
+        np.savez_compressed(tmp_path / "masks" / f"{n}.npz", mask=big if case == "crop" else np.ones((h, w), np.uint8))
+    got = segment_points(spark, *(str(tmp_path / x) for x in ("poses.json", "masks", "depths", "pts")), min_votes=2, depth_abs=0.01, depth_rel=0.01).collect()
+    # Both frames hold the same points.
+    assert sorted((round(r.x, 4), round(r.y, 4), round(r.z, 4)) for r in got) == sorted(tuple(round(float(x), 4) for x in pts[i, j]) for i, j in zip(*np.nonzero(want), strict=True) for _ in range(2))
