@@ -65,6 +65,12 @@ def _lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
+def _octet(digits: str) -> bool:
+    """Whether a run of digits, however long, is 255 at most."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """Spans (start, kind's number, end) in code points, by start and kind."""
     if not text:
@@ -81,7 +87,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                     parts = [(x.start(), x.end()) for x in re.finditer("[0-9]+", m.group())]
                     for i in range(0, len(parts) - 3, 4):
                         four = parts[i : i + 4]
-                        if all(int(m.group()[a:b]) <= 255 for a, b in four):
+                        if all(_octet(m.group()[a:b]) for a, b in four):
                             out.append((at + four[0][0], 1, at + four[3][1]))
             if at >= digits:
                 m = _DIGITS.match(text, at)

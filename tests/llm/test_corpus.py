@@ -449,3 +449,9 @@ def test_lines_of_edit_similarity_are_found(spark):
     assert all(r.doc_id % 2 for r in got if r.n_dropped)
     found = Counter(r.doc_id // 80 for r in got if r.n_dropped)
     assert all(found[i] >= 34 for i in range(len(sizes))), found
+
+
+def test_pii_takes_very_long_digit_runs():
+    assert not [x for x in find(f"at 1.2.3.{'9' * 5000} here") if x[1] == 1]
+    far = "0" * 5000 + "7"
+    assert [x for x in find(f"1.2.3.{far}") if x[1] == 1] == [(0, 1, 6 + len(far))]
