@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 
@@ -19,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(folder)
@@ -31,6 +33,42 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one operator's run, written as Parquet in the shared checkpoint folder and removed as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.tables = spark, 0
+        self.top = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid4()}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table, written and read again."""
+        self.tables += 1
+        path = f"{self.top}/{self.tables}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes all tables; what is returned to callers must have been written elsewhere."""
+        remove(self.spark, self.top)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, in whatever store holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes that a counted table may have in order to be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
+    """A written table, marked for broadcast if its rows, of about row_bytes each, are few; else joined by a shuffle."""
+    held = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold, and make the package known to Python workers."""
     ship_package(spark)
