@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import free_name, materialise
+from .runtime import free_name, materialise, shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the rank that a source's sizes are summed over before any row is ordered.
@@ -60,9 +60,11 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str | None = "t
     without words have no copies. An empty table gives an empty table; input columns named like a result are replaced.
     """
     made = ["size", "source_size", "target", "copies"]
-    sized = df.withColumn("_words", F.col(size_col) if size_col else word_count(F.col(text_col)))
-    drawn = sized.withColumn("_u", _draw(F.col(id_col), F.col(text_col) if text_col else None, seed))
-    narrow = materialise(drawn.select(F.col(source_col).alias("source"), F.col("_words").alias("size"), F.col("_u").alias("u")))
+    held, at = shielded(df)
+    source, text = F.col(at[source_col.lower()]), F.col(at[text_col.lower()]) if text_col else None
+    sized = held.withColumn("_words", F.coalesce(F.col(at[size_col.lower()]).cast("long"), F.lit(0).cast("long")) if size_col else word_count(text))
+    drawn = sized.withColumn("_u", _draw(F.col(at[id_col.lower()]), text, seed))
+    narrow = materialise(drawn.select(source.alias("source"), F.col("_words").alias("size"), F.col("_u").alias("u")))
     targets = source_targets(narrow, "source", "size", weights, limit)
     # Expected copies are least(limit, rate * root): the rate is the largest of what is left with the longest documents at the limit.
     sizes = narrow.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -96,15 +98,14 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str | None = "t
     params = plan.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").join(last, F.col("source").eqNullSafe(F.col("ls")), "left")
     params = materialise(params.select(F.col("source").alias("_ps"), "source_size", "target", "rate", "edge", "last"))
 
-    base = drawn.drop(*[c for c in drawn.columns if c.lower() in made and c != source_col])
-    at = free_name(base, "_at")
-    joined = base.withColumn(at, F.col(source_col)).join(params, F.col(at).eqNullSafe(F.col("_ps"))).drop(at, "_ps")
+    joined = drawn.join(params, source.eqNullSafe(F.col("_ps")))
     chosen = F.col("_rank").isNotNull() & (F.col("edge").isNull() | (F.col("_range") < F.col("edge")) | ((F.col("_range") == F.col("edge")) & (F.col("_rank") <= F.coalesce("last", F.lit(-1.0)))))
     out = ranked(joined, "_words", "_u").withColumn("copies", F.col("_sure") + F.when(chosen, 1).otherwise(0))
-    keep = [c for c in df.columns if c.lower() not in made]
+    keep = [F.col(at[c.lower()]).alias(c) for c in df.columns if c.lower() not in made]
     return out.select(*keep, F.col("_words").alias("size"), "source_size", "target", "copies")
 
 
 def take_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as copies says."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The columns of each row as often as copies says; a row of 0 or null copies goes."""
+    copy = free_name(mixed, "_copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import free_name, materialise, small_batches
+from .runtime import materialise, shielded, small_batches
 from .textvec import LOWER, mix, texts_of
 
 BITS = 64
@@ -316,17 +316,18 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _first_of_each(df: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of df for each root in marked (id, text_hash, root)."""
-    chosen = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("n"))
+    chosen = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
     keep = chosen.select(F.col("first.id").alias("_kid"), F.col("first.h").alias("_kh"))
-    h = free_name(df, "_text_hash")
-    hashed = df.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = hashed.join(keep, hashed[id_col].eqNullSafe(F.col("_kid")) & (hashed[h] == F.col("_kh")), "left_semi")
+    held, at = shielded(df)
+    id_ = at[id_col.lower()]
+    hashed = held.withColumn("_h", F.xxhash64(F.coalesce(F.col(at[text_col.lower()]), F.lit(""))))
+    kept = hashed.join(keep, hashed[id_].eqNullSafe(F.col("_kid")) & (hashed["_h"] == F.col("_kh")), "left_semi")
     repeated = marked.groupBy(F.col(id_col).alias("_kid"), F.col("text_hash").alias("_kh")).count().where("count > 1").drop("count")
-    alike = kept[id_col].eqNullSafe(F.col("_kid")) & (kept[h] == F.col("_kh"))
+    alike = kept[id_].eqNullSafe(F.col("_kid")) & (kept["_h"] == F.col("_kh"))
     once = kept.join(repeated, alike, "left_anti")
     # Rows alike in id and text: one of them, whatever their other columns hold.
-    many = kept.join(repeated, alike, "left_semi").dropDuplicates([id_col, h])
-    return once.union(many).select(*df.columns)
+    many = kept.join(repeated, alike, "left_semi").dropDuplicates([id_, "_h"])
+    return once.union(many).drop("_h").toDF(*df.columns)
 
 
 # Shingle sets

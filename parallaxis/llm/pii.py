@@ -24,6 +24,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[\s:#=.]{0,3}(?:(?:no|number|nr)\b[\s:#=.]{0,3})?((?=[A-Z0-9-]{0,30}[0-9])[A-Z0-9][A-Z0-9-]{4,30})(?![A-Za-z0-9])")
 _URL = re.compile(r"[^\s<>\"'|]+")
+_AUTHORITY = re.compile(r"[^\s<>\"'|/?#]+")
+#: Marks that end a sentence rather than a URL.
+_TAIL = ".,;:!?)]}"
 _HANDLE = re.compile(r"[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_@]|\.[A-Za-z0-9])")
 
 #: Cues that name an identifier, in lower case; the parser asks for a number after them.
@@ -76,7 +79,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     out: list[tuple[int, int, int]] = []
-    emails = dotted = digits = phones = urls = numbers = 0  # where the last match of a kind ends
+    emails = dotted = digits = phones = urls = hosts = numbers = 0  # where the last match of a kind ends
     for end, (what, size) in _automaton().iter(_lowered(text)):
         at = end - size + 1
         if what == "digit":
@@ -114,14 +117,15 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                 if 10 <= sum(c in "0123456789" for c in m.group()) <= 15:
                     out.append((at, 3, phones))
         elif what == "scheme":
-            if at >= urls and (m := _URL.match(text, end + 1)):
-                stop = m.end()
-                while stop > end + 1 and text[stop - 1] in ".,;:!?)]}":
-                    stop -= 1
-                host = text[end + 1 : stop].rsplit("@")[-1]
-                if "." in host.split("/")[0]:
+            if at >= urls and end + 1 >= hosts and (m := _AUTHORITY.match(text, end + 1)):
+                host = m.group().rstrip(_TAIL).rsplit("@")[-1]
+                if "." in host:
+                    urls = stop = _URL.match(text, end + 1).end()
+                    while stop > end + 1 and text[stop - 1] in _TAIL:
+                        stop -= 1
                     out.append((at, 5, stop))
-                    urls = stop
+                else:
+                    hosts = m.end()  # a scheme inside has no better host
         elif at >= numbers and (at == 0 or not text[at - 1].isalnum()):
             m = _NUMBER.match(text, end + 1)
             if m and sum(c.isdigit() for c in m.group(1)) >= 5:

@@ -83,5 +83,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named input_0, input_1 and so on, so that no helper column clashes, and these names by the old ones in lower case."""
+    names = [f"input_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip((c.lower() for c in df.columns), names, strict=True))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import free_name
+from .runtime import shielded
 
-#: Buckets that rows are numbered in; their counts are the only thing summed in one place.
-BUCKETS = 4096
+#: Rows of a bucket, on average, in which rows are numbered; only the buckets' counts are summed in one place.
+BUCKET_ROWS = 4096
+#: Buckets at most: their counts are broadcast.
+BUCKETS = 1 << 18
 ROUNDS = 6
 #: Steps of a walk that the plan has room for. A longer one has odds below 2^-(6 * 64) and stops the query.
 WALK = 64
@@ -52,17 +54,20 @@ def shard_rows(df: DataFrame, shards: int = 16, seed: int = 11, key_cols: list[s
 
     Rows are numbered bucket by bucket of a hash of the key columns (all, if none are named), inside a bucket by these columns,
     so the numbers depend on the rows only and reruns agree. Rows alike in all key columns are interchangeable:
-    they get different numbers in any order. Nulls count as values of their own. An empty table gives an empty table.
+    they get different numbers in any order. Nulls count as values of their own. An empty table gives an empty table; input columns
+    named like a result are replaced.
     """
-    keys = key_cols or df.columns
-    number, bucket, base = (free_name(df, x) for x in ("row_number", "_bucket", "_base"))
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-    counts = dealt.groupBy(bucket).agg(F.count("*").alias("n"))
-    # At most BUCKETS rows, whatever the input: summed up in one task and broadcast.
-    bases = counts.select(F.col(bucket).alias("_b"), (F.sum("n").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias(base))
+    held, at = shielded(df)
+    keys = [at[c.lower()] for c in key_cols or df.columns]
     n = df.count()
-    inside = F.row_number().over(W.partitionBy(bucket).orderBy(*keys)) - 1
-    numbered = dealt.withColumn(number, inside).join(F.broadcast(bases), F.col(bucket) == F.col("_b")).withColumn(number, F.col(number) + F.col(base))
-    place = free_name(df, "_place")
-    placed = numbered.withColumn(place, permute(F.col(number), n, seed))
-    return placed.select(*df.columns, F.col(number), (F.col(place) % shards).cast("int").alias(shard), F.floor(F.col(place) / shards).cast("long").alias(slot))
+    buckets = min(BUCKETS, n // BUCKET_ROWS + 1)
+    dealt = held.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
+    # BUCKETS rows at most, whatever the input: summed up in one task and broadcast.
+    bases = counts.select(F.col("bucket").alias("b"), (F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("base"))
+    inside = F.row_number().over(W.partitionBy("bucket").orderBy(*keys)) - 1
+    numbered = dealt.withColumn("inside", inside).join(F.broadcast(bases), F.col("bucket") == F.col("b")).withColumn("number", F.col("inside") + F.col("base"))
+    placed = numbered.withColumn("place", permute(F.col("number"), n, seed))
+    made = {"row_number", shard.lower(), slot.lower()}
+    keep = [F.col(at[c.lower()]).alias(c) for c in df.columns if c.lower() not in made]
+    return placed.select(*keep, F.col("number").alias("row_number"), (F.col("place") % shards).cast("int").alias(shard), F.floor(F.col("place") / shards).cast("long").alias(slot))
