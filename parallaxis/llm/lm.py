@@ -1,55 +1,67 @@
 """Language-model scores by a weighted backoff automaton over word bigrams, block by block.
 
-Smoothing: p(w) = (c(w) + a) / (N + a (V + 1)), one share of the mass for all unknown words. After a state word u
-p(w | u) = (c(u, w) + k p(w)) / (c(u) + k); words that are no state share the class `rare` as successors
-and p(w | u) = p(rare | u) p(w) / p(rare). So every state has an arc for each seen successor, a failure arc of
-weight k / (c(u) + k) to the root, and probabilities that add up to 1.
-
-Every training word is a state, so every bigram seen in training has its arc and `rare` holds the unknown words alone. Only with a
-state_share above 0 are states the words with at least this share of all training tokens, 1 / state_share words at most. Counts of words and pairs are exact and never leave the executors: a block of documents asks for the
-n-grams it holds, the answers are joined to the block and its documents are run through the block's automaton.
+Smoothing: p(w) = (c(w) + a) / (N + a (V + 1)), one share of the mass for all unknown words. Every training word is a state. After state u
+p(w | u) = (c(u, w) + k p(w)) / (c(u) + k) with k = pull * (c(u) + 1) ** power: a state has an arc for each seen successor and a failure
+arc of weight k / (c(u) + k) to the root, and its probabilities add up to 1. The two constants come near to absolute
+discounting, whose counts of successors would have to be gathered for each state.
+
+Counts of words and pairs are exact and never leave the executors. Documents are dealt into blocks where they are read. A block
+asks for the n-grams it holds: sorted hashes, cut into ranges and packed, with the counts of its own training rows. A range adds
+up what all blocks ask and answers each with the totals that it can't know by itself; then a block's documents are run through the block's automaton.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, small_batches
-from .textvec import mix
+from .runtime import Scratch, materialise, small_batches
+from .textvec import LOWER, Texts, mix, texts_of
 
 
 @dataclass(frozen=True)
 class LmRules:
+    """block_bytes of text make a block; a range has about range_grams different n-grams of all blocks together."""
+
     add: float = 0.1
-    pull: float = 2000.0
-    state_share: float = 0.0
-    block_tokens: int = 2_500_000
+    pull: float = 2.0
+    power: float = 0.8
+    block_bytes: int = 16 << 20
+    range_grams: int = 1 << 20
 
 
 END = np.uint64(xxhash.xxh64_intdigest(b"", 0))  # no word is empty
-RARE = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD1342543DE82EF95)
+#: Bytes of a hash that are sent; the range stands for the bits above.
+SENT = 6
+#: Bits that name a range at most; with the bytes sent, these many bits tell n-grams apart.
+RANGE_BITS = 16
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased (A-Z) words of a text and of the end token."""
-    words = (text or "").encode().lower().split()
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), dtype=np.uint64, count=len(words))
-    out[-1] = END
-    return out
+def token_hashes(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (LOWER texts) with the end token behind each text, end to end, and where each text ends."""
+    ends = np.cumsum(t.words + 1)
+    out = np.empty(int(ends[-1]) if t.n else 0, dtype=np.uint64)
+    place = np.ones(len(out), dtype=bool)
+    place[ends - 1] = False
+    out[place] = t.hashes()
+    out[~place] = END
+    return out, ends
 
 
-def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * _PAIR + w)
+def pair_hashes(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it, the end token before a text's first."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = END
+    return mix(before * _PAIR + tokens)
 
 
 def _index(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -60,87 +72,79 @@ def _index(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(values[at] == wanted, at, -1)
 
 
+def _tally(grams: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct n-grams, and how many of each stand where on is set."""
+    own, back = np.unique(grams, return_inverse=True)
+    return own, np.bincount(back, weights=on, minlength=len(own)).astype(np.int64)
+
+
+def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """The low bytes of hashes, and counts: one byte each, those of 255 and more as 8 bytes behind."""
+    low = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :SENT]
+    return low.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :SENT] = np.frombuffer(data, np.uint8, n * SENT).reshape(n, SENT)
+    counts = np.frombuffer(data, np.uint8, n, n * SENT).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", -1, n * (SENT + 1))
+    return wide.view(np.uint64).ravel(), counts
+
+
+def _trim(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes with as many bits as are sent: those that name the range, then the low ones."""
+    top = grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64)
+    return (top << np.uint64(8 * SENT)) | (grams & np.uint64((1 << (8 * SENT)) - 1))
+
+
 class Automaton:
     """States, arcs and failure arcs for the n-grams of one block."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, states: np.ndarray | None, pairs: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, rare_mass: float, rules: LmRules) -> None:
-        """words and pairs: ascending hashes with their counts in training; states: those of the state words, None for all words. total: tokens there, kinds: distinct ones."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, rules: LmRules) -> None:
+        """words and pairs: ascending hashes with their counts in training. total: tokens there, kinds: distinct ones."""
         self.words, self.pairs, self.pair_counts = words, pairs, pair_counts
-        self.floor = np.log10(rules.add / (total + rules.add * (kinds + 1)))
-        self.p = (counts + rules.add) / (total + rules.add * (kinds + 1))
-        self.log = np.append(np.log10(self.p), self.floor)  # the last is that of unknown words
-        self.counts = counts
-        self.is_state = np.append(np.ones(len(words), dtype=bool) if states is None else _index(states, words) >= 0, False)
-        self.fail = np.log10(rules.pull / (counts + rules.pull))
-        self.rare_mass, self.rules = max(rare_mass, 1e-300), rules
-
-    def _arcs(self, state: np.ndarray, pair: np.ndarray, p: np.ndarray) -> np.ndarray:
-        at = _index(self.pairs, pair)
-        seen = np.where(at >= 0, self.pair_counts[at] if len(self.pair_counts) else 0, 0)
-        return np.log10((seen + self.rules.pull * p) / (self.counts[state] + self.rules.pull)), seen
-
-    def score(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts whose token hashes stand end to end: base score, known tokens, score."""
-        ids = _index(self.words, hashes)
-        log = self.log[ids]
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        base = np.add.reduceat(log, starts) if len(ends) else log
-        known = np.add.reduceat((ids >= 0).astype(np.int64), starts) if len(ends) else ids
+        floor = rules.add / (total + rules.add * (kinds + 1))
+        self.p = np.append((counts + rules.add) / (total + rules.add * (kinds + 1)), floor)  # the last is that of unknown words
+        self.counts = np.append(counts, 0).astype(float)
+        pull = rules.pull * (self.counts + 1) ** rules.power
+        pull[-1] = 0.0
+        self.pull, self.mass = pull, np.maximum(self.counts + pull, 1e-300)
+
+    def score(self, tokens: np.ndarray, pairs: np.ndarray, ends: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts whose tokens stand end to end, end being the hash of the end token: base score, known tokens, score.
+
+        The state before a token is the token before it, where that is a training word, else the root; so the traversal of all
+        texts from left to right is one look at every step: the arc if there is one, else the failure arc and the root's.
+        """
+        ids = _index(self.words, tokens)
         root = len(self.words)
-        start = int(_index(self.words, np.array([END], dtype=np.uint64))[0])
-        begin = start if start >= 0 and self.is_state[start] else root
-        # Arcs out of the states that the texts visit, by (state, successor); n stands for the rare class.
-        n = root
-        ids = np.where(ids < 0, n, ids)
-        to = np.where(self.is_state[ids], ids, n)
-        before = np.concatenate([[begin], to[:-1]]).astype(np.int64)
-        before[starts] = begin
-        after_state = before != n
-        key = np.unique(before[after_state] * (n + 1) + to[after_state])
-        state, succ = key // (n + 1), key % (n + 1)
-        rare = succ == n
-        p = np.where(rare, self.rare_mass, np.append(self.p, 0)[succ])
-        value, seen = self._arcs(state, _pair(self.words[state] if len(state) else np.empty(0, np.uint64), np.append(self.words, RARE)[succ]), p)
-        value = np.where(rare, value - np.log10(self.rare_mass), value)
-        live = (seen > 0) | rare
-        arcs = dict(zip(key[live].tolist(), value[live].tolist(), strict=True))
-        fail, log_of, step = [*self.fail.tolist(), 0.0], log.tolist(), n + 1
-        total, out, lo = 0.0, np.empty(len(ends)), 0
-        goes, get = to.tolist(), arcs.get
-        for k, hi in enumerate(ends.tolist()):
-            at, total = begin, 0.0
-            for lp, nxt in zip(log_of[lo:hi], goes[lo:hi], strict=True):
-                if at == n:  # the root: any word goes out from here
-                    total += lp
-                elif (arc := get(at * step + nxt)) is None:
-                    total += fail[at] + lp  # the failure arc, then the root's
-                elif nxt == n:
-                    total += arc + lp
-                else:
-                    total += arc
-                at = nxt
-            out[k] = total
-            lo = hi
-        return base, known, out
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n) of the words in column 0, added up over some megabytes at a time."""
-    held, size = [], 0
-
-    def out() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(token_hashes(text))
-            size += len(held[-1])
-            if size >= 2_000_000:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+        state = np.empty_like(ids)
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
+        state[1:] = ids[:-1]
+        state[starts] = _index(self.words, end)[0]
+        state[state < 0] = root
+        p = self.p[ids]
+        at = _index(self.pairs, pairs)
+        seen = np.where(at >= 0, self.pair_counts[at], 0) if len(self.pairs) else np.zeros(len(at))
+        step = np.where(state == root, p, (seen + self.pull[state] * p) / self.mass[state])
+        sums = lambda x: np.add.reduceat(x, starts) if len(ends) else np.zeros(0)
+        return sums(np.log10(p)), sums((ids >= 0).astype(np.int64)), sums(np.log10(step))
+
+
+def _dealt(src: DataFrame, rules: LmRules) -> DataFrame:
+    """The rows with the block they belong to: as they are read, some megabytes at a time; a longer text is a block."""
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), "block long", "bytes long"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = np.array([len(t) if t else 0 for t in batch.column("_t").cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+            ends = held + np.cumsum(size + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + ends // rules.block_bytes), pa.array(size)], names=[*batch.schema.names, "block", "bytes"])
+            held = int(ends[-1]) if len(ends) else held
+
+    return src.mapInArrow(run, ", ".join(fields))
 
 
 def lm_scores(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", rules: LmRules | None = None) -> DataFrame:
@@ -148,86 +152,97 @@ def lm_scores(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: s
 
     trains says which rows the counts come from; rows where it is null do not count. Every row is scored: null and empty texts are
     the end token alone. Repeated rows count and score each. Without training rows all words are unknown and scores are those of
-    uniform mass. An empty table gives an empty table; other columns are not looked at.
+    uniform mass. An empty table gives an empty table; other columns are not looked at. Words are told apart by 64-bit hashes.
     """
     rules = rules or LmRules()
-    spark = df.sparkSession
-    small_batches(spark)
-    src = df.select(F.col(id_col).alias("_id"), F.coalesce(trains, F.lit(False)).alias("_train"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    counts = materialise(src.where("_train").select("_t").mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    norm = total + rules.add * (kinds + 1)
-    if rules.state_share > 0:
-        limit = max(1, int(np.ceil(total * rules.state_share)))
-        found = counts.where(F.col("n") >= limit).collect() if total else []  # 1 / state_share rows at most
-        states = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
-        rare_mass = 1.0 - sum((r["n"] + rules.add) / norm for r in found)
-    else:
-        states, rare_mass = None, rules.add / norm
-    blocks = max(1, -(-total // rules.block_tokens))
-    dealt = src.withColumn("block", F.pmod(F.xxhash64("_id", "_t"), F.lit(blocks)).cast("int")).repartition("block")
-
-    def pairs_of(hs: list[np.ndarray], train: list) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of some texts that may be arcs, and whether each stands in a training row."""
-        h = np.concatenate(hs)
-        lens = [len(x) for x in hs]
-        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        state = np.ones(len(h), dtype=bool) if states is None else _index(states, h) >= 0
-        succ = np.where(state, h, RARE)
-        before, alive = np.concatenate([[END], h[:-1]]), np.concatenate([[True], state[:-1]])
-        before[first], alive[first] = END, states is None or bool(_index(states, np.array([END]))[0] >= 0)
-        on = np.repeat(np.array(train, dtype=bool), lens)
-        return _pair(before[alive], succ[alive]), on[alive]
-
-    def ask(key, table):
-        """Distinct words and pairs of a block, with the pairs' counts in its training rows."""
-        words, pairs, trained = [], [], []
-        texts, train = table.column("_t").to_pylist(), table.column("_train").to_pylist()
-        for lo in range(0, len(texts), 2048):
-            hs = [token_hashes(t) for t in texts[lo : lo + 2048]]
-            words.append(np.unique(np.concatenate(hs)))
-            for held, part in zip((pairs, trained), pairs_of(hs, train[lo : lo + 2048]), strict=True):
-                held.append(part)
-        w = np.unique(np.concatenate(words))
-        p, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        n = np.bincount(where, weights=np.concatenate(trained), minlength=len(p)).astype(np.int64)
-        return pa.table({"block": pa.array(np.full(len(w) + len(p), key[0].as_py(), np.int32)), "pair": pa.array(np.arange(len(w) + len(p)) >= len(w)), "h": pa.array(np.concatenate([w, p]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(len(w), np.int64), n]))})
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, pair boolean, h long, n long")
-    counted = asked.unionByName(counts.select(F.lit(-1).alias("block"), F.lit(False).alias("pair"), "h", "n"))
-    # One pass over what all blocks ask. Pairs that no other block counts are not sent back: a block knows them itself.
-    totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy("pair", "h")))
-    answers = totals.where("block >= 0 and total > 0 and (not pair or total <> n)").select("block", "pair", "h", "total")
-
-    def run(key, docs, got):
-        texts = docs.column("_t").to_pylist()
-        h = got.column("h").to_numpy().view(np.uint64)
-        n, pair = got.column("total").to_numpy(), got.column("pair").to_numpy().astype(bool)
-
-        def pick(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(h[on])
-            return h[on][order], n[on][order]
-
-        train, own = docs.column("_train").to_pylist(), []
-        hashed = [[token_hashes(t) for t in texts[lo : lo + 1024]] for lo in range(0, len(texts), 1024)]
-        for k, hs in enumerate(hashed):
-            found, on = pairs_of(hs, train[1024 * k : 1024 * (k + 1)])
-            own.append(found[on])
-        mine, times = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
-        asked_for, answered = pick(pair)
-        alone = _index(asked_for, mine) < 0
-        pairs, pair_counts = np.concatenate([mine[alone], asked_for]), np.concatenate([times[alone], answered])
-        order = np.argsort(pairs)
-        model = Automaton(*pick(~pair), states, pairs[order], pair_counts[order], total, kinds, rare_mass, rules)
-        cols = [[], [], [], []]
-        for hs in hashed:
-            lens = np.array([len(x) for x in hs], dtype=np.int64)
-            base, known_n, score = model.score(np.concatenate(hs), np.cumsum(lens))
-            for col, part in zip(cols, (lens, known_n, base, score), strict=True):
-                col.append(part)
-        tokens, known_n, base, score = (np.concatenate(c) if c else np.empty(0) for c in cols)
-        return pa.table([docs.column("_id"), docs.column("_train"), pa.array(tokens, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=[id_col, "trains", "n_tokens", "n_known", "base_score", "score"])
-
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, trains boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    small_batches(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
+    try:
+        src = df.select(F.col(id_col).alias("_id"), F.coalesce(trains, F.lit(False)).alias("_train"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+        stored = scratch.keep(_dealt(src, rules))
+        size = stored.agg(F.sum("bytes")).first()[0] or 0
+        # A word has six bytes or so; half of the pairs are new.
+        bits = min(RANGE_BITS, max(0, (size // 12 // rules.range_grams).bit_length()))
+
+        end = _trim(np.array([END], dtype=np.uint64), bits)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What each block holds: for words (kind 0) and pairs (kind 1) and each range the distinct n-grams with their counts in training rows."""
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def out(block: int) -> Iterator[pa.RecordBatch]:
+                on = np.concatenate([h[2] for h in held])
+                rows: list[tuple] = []
+                for kind in (0, 1):
+                    grams, n = _tally(np.concatenate([h[kind] for h in held]), on)
+                    cut = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else [0, len(grams)]
+                    rows += [(kind, k, block, cut[k + 1] - cut[k], _pack(grams[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]])) for k in range(1 << bits) if cut[k] < cut[k + 1]]
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "range", "block", "n", "data"])
+
+            last = None
+            for batch in batches:
+                block = batch.column("block").to_numpy()
+                cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if last is not None and block[lo] != last and held:
+                        yield from out(last)
+                    last = int(block[lo])
+                    part = batch.slice(lo, hi - lo)
+                    train = np.array(part.column("_train").to_pylist(), dtype=float)
+                    for a, b, t in texts_of(part.column("_t"), LOWER):
+                        tokens, ends = token_hashes(t)
+                        held.append((tokens, pair_hashes(tokens, ends), np.repeat(train[a:b], t.words + 1)))
+            if held:
+                yield from out(last)
+
+        asked = stored.select("block", "_train", "_t").mapInArrow(ask, "kind int, range int, block long, n long, data binary")
+
+        def add_up(key: tuple, table: pa.Table) -> pa.Table:
+            """Totals of one range: to each block those that differ from its own counts, and to all (block -1) how many words and tokens there are."""
+            kind, blocks = key[0].as_py(), table.column("block").to_pylist()
+            lists = [_unpack(d, n) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
+            grams, back = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
+            own = np.concatenate([x[1] for x in lists])
+            total = np.bincount(back, weights=own, minlength=len(grams)).astype(np.int64)
+            out, at = [], 0
+            for block, (values, counts) in zip(blocks, lists, strict=True):
+                all_ = total[back[at : at + len(values)]]
+                at += len(values)
+                new = all_ != counts
+                if new.any():
+                    out.append((block, int(new.sum()), _pack(values[new], all_[new])))
+            if kind == 0:
+                out.append((-1, int((total > 0).sum()), int(total.sum()).to_bytes(8, "little")))
+            cols = [pa.array([kind] * len(out), pa.int32()), pa.array([key[1].as_py()] * len(out), pa.int32()), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))]
+            return pa.Table.from_arrays(cols, names=["kind", "range", "block", "n", "data"])
+
+        answers = scratch.keep(asked.groupBy("kind", "range").applyInArrow(add_up, "kind int, range int, block long, n long, data binary"))
+        sums = answers.where("block = -1").select("n", "data").collect()  # a row for each range
+        kinds, total = sum(r["n"] for r in sums), sum(int.from_bytes(r["data"], "little") for r in sums)
+
+        def run(key: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
+            texts, train = docs.column("_t").combine_chunks(), np.array(docs.column("_train").to_pylist(), dtype=float)
+            parts = []
+            for a, b, t in texts_of(texts, LOWER):
+                tokens, ends = token_hashes(t)
+                parts.append((_trim(tokens, bits), _trim(pair_hashes(tokens, ends), bits), ends, np.repeat(train[a:b], t.words + 1)))
+            told: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+            for kind, k, n, data in zip(*(got.column(c).to_pylist() for c in ("kind", "range", "n", "data")), strict=True):
+                values, counts = _unpack(data, n)
+                told[kind].append((values | (np.uint64(k) << np.uint64(8 * SENT)), counts))
+            model = []
+            for kind in (0, 1):
+                grams, n = _tally(np.concatenate([p[kind] for p in parts]), np.concatenate([p[3] for p in parts]))
+                for values, counts in told[kind]:
+                    n[np.searchsorted(grams, values)] = counts
+                model += [grams[n > 0], n[n > 0]]
+            automaton = Automaton(*model, total, kinds, rules)
+            cols = [np.concatenate(x) for x in zip(*((np.diff(ends, prepend=0), *automaton.score(tokens, pairs, ends, end)) for tokens, pairs, ends, _ in parts), strict=True)]
+            return pa.table([docs.column("_id"), docs.column("_train"), pa.array(cols[0], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[3], pa.float64())], names=[id_col, "trains", "n_tokens", "n_known", "base_score", "score"])
+
+        schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, trains boolean, n_tokens long, n_known long, base_score double, score double"
+        scored = stored.select("block", "_id", "_train", "_t").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, schema)
+        return materialise(scored).withColumn("train_tokens", F.lit(total).cast("long"))
+    finally:
+        scratch.clear()
