@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import materialise, shielded, small_batches
+from .runtime import Scratch, bounded, materialise, shielded, small_batches
 from .textvec import LOWER, mix, texts_of
 
 BITS = 64
@@ -332,8 +333,9 @@ def _first_of_each(df: DataFrame, marked: DataFrame, id_col: str, text_col: str)
 
 # Shingle sets
 
-#: Sets of a key up to which all its pairs are listed at once; those of a larger key meet its first and last set before.
-KEY_SETS = 64
+#: One set in SAMPLE is looked at to find keys of very many sets; HOT of the looked at make one.
+SAMPLE = 64
+HOT = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -378,49 +380,58 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, text_hash, fp (a hash of its shingle set) and root, equal for the texts of a group.
 
     Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`; all such pairs are found or lie in
-    one group already. Texts without a word are alike. Pairs are listed for keys of KEY_SETS sets at most; sets of a larger
-    key are first linked to its first and last one, pairs are then listed for sets that lie in different groups still.
+    one group already. Texts without a word are alike. A set is compared with the least set of each of its keys, which joins nearly all
+    groups; then those of a key that lie in different groups are compared pair by pair.
     """
-    src = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = materialise(_set_rows(src, ["_id", "text_hash"], shingle, similarity, False))
-    marked = rows.select("_id", "text_hash", "fp")
+    scratch = Scratch(df.sparkSession)
+    try:
+        src = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        rows = scratch.keep(_set_rows(src, ["_id", "text_hash"], shingle, similarity, False))
+        roots = _set_links(scratch, src, rows, shingle, similarity)
+        marked = rows.select("_id", "text_hash", "fp")
+        return materialise(marked.join(bounded(roots, 16), marked["fp"] == roots["node"], "left").select(F.col("_id").alias(id_col), "text_hash", "fp", F.coalesce("root", "fp").alias("root")))
+    finally:
+        scratch.clear()
+
+
+def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the sets that are linked."""
     sets = rows.groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
-    keyed = materialise(sets.select("fp", "n", F.posexplode("hashes").alias("pos", "key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("sets"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("sets > 1")
-    met = materialise(keyed.join(shared, "key"))
-    need = f"ceil({similarity} / {1 + similarity} * (na + nb) - 1e-9)"
-    # Hashes before the smallest one in common lie in one of the sets only.
-    can = F.expr(f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9 and posa + posb <= na + nb - 2 * {need}")
-    side = lambda t, x, *more: t.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"pos{x}"), *(F.col(c).alias(f"{c}{x}") for c in more))
+    keyed = sets.select("fp", "n", F.posexplode("hashes").alias("pos", "key"))
+    # Keys of very many sets, as a sample shows them, are dealt over several tasks; which ones changes the plan alone, not the result.
+    some = rows.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("hashes").alias("key")).distinct()
+    hot = scratch.keep(some.groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot")))
+    dealt = keyed.join(bounded(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SAMPLE))).otherwise(F.lit(-1)))
+    sharing = dealt.repartition("key", "salt").withColumn("sharing", F.count("*").over(W.partitionBy("key", "salt")))
+    met = scratch.keep(sharing.where("hot or sharing > 1").select("key", "fp", "n", "pos"))
+    need = f"ceil({similarity / (1 + similarity)!r} * (na + nb) - 1e-9)"
+    near = f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9"
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        at = marked.join(wanted, "fp").dropDuplicates(["fp"]).select(F.col("_id").alias("_aid"), F.col("text_hash").alias("_ah"))
-        texts = src.join(at, src["_id"].eqNullSafe(F.col("_aid")) & (src["text_hash"] == F.col("_ah"))).select("_text")
-        full = materialise(_set_rows(texts, [], shingle, similarity, True).dropDuplicates(["fp"]))
+        at = scratch.keep(rows.join(bounded(scratch.keep(wanted), 16), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("void"), F.col("_id").alias("id"), F.col("text_hash").alias("h"))).alias("at")).select(F.col("at.id").alias("_aid"), F.col("at.h").alias("_ah")))
+        texts = src.join(bounded(at), src["_id"].eqNullSafe(F.col("_aid")) & (src["text_hash"] == F.col("_ah"))).select("_text")
+        full = scratch.keep(_set_rows(texts, [], shingle, similarity, True).dropDuplicates(["fp"]))
         one = lambda x: full.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
-        both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-        return materialise(both.where(f"size(array_intersect(ha, hb)) >= {need}").select("a", "b"))
-
-    cold, hot = met.where(F.col("sets") <= KEY_SETS), met.where(F.col("sets") > KEY_SETS)
-    x, y = side(cold, "a"), side(cold, "b")
-    pairs = x.join(y, (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & can).select("a", "b")
-    sized = sets.select(F.col("fp").alias("end"), F.col("n").alias("nb"))
-    ends = hot.select("fp", F.col("n").alias("na"), F.explode(F.array("lo", "hi")).alias("end")).where("fp <> end").distinct().join(sized, "end")
-    near = ends.where(f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9").select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
-    tried = materialise(pairs.union(near).distinct())
+        return scratch.keep(pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").where(f"size(array_intersect(ha, hb)) >= {need}").select("a", "b"))
+
+    least = scratch.keep(met.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("at")).select("key", F.col("at.fp").alias("a"), F.col("at.n").alias("na")))
+    stars = met.withColumnRenamed("n", "nb").join(least, "key").where(f"fp <> a and {near}")
+    tried = scratch.keep(stars.select("a", F.col("fp").alias("b")).distinct())
     links = verified(tried)
-    roots = materialise(connected_components(links))
-    if not hot.isEmpty():
-        placed = hot.join(roots, hot["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        x, y = side(placed, "a", "root"), side(placed, "b", "root")
-        rest = x.join(y, (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & can).select("a", "b").distinct()
-        rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            roots = materialise(connected_components(links.union(verified(rest))))
-    return marked.join(roots, marked["fp"] == roots["node"], "left").select(F.col("_id").alias(id_col), "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+    roots = scratch.keep(connected_components(links))
+    placed = met.join(bounded(roots, 16), met["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    split = scratch.keep(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+    rest = scratch.keep(placed.join(bounded(split, 16), "key", "left_semi"))
+    side = lambda x: rest.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "pos", "root")))
+    # Hashes before the smallest one in common lie in one of the sets only.
+    can = F.expr(f"keya = keyb and a < b and roota <> rootb and {near} and posa + posb <= na + nb - 2 * {need}")
+    new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    if new.isEmpty():
+        return roots
+    return scratch.keep(connected_components(links.union(verified(new))))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input's columns, one row of each group of similar_texts, chosen as by drop_near_duplicates."""
-    return _first_of_each(df, materialise(similar_texts(df, id_col, text_col, shingle, similarity)), id_col, text_col)
+    return _first_of_each(df, similar_texts(df, id_col, text_col, shingle, similarity), id_col, text_col)
