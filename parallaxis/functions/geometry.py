@@ -146,3 +146,52 @@ def slerp(q0: list[Column], q1: list[Column], t: Column) -> list[Column]:
 def stem(name) -> Column:
     """File name without its last extension."""
     return F.regexp_replace(c(name), r"\.[^.]*$", "")
+
+
+def to_opengl(m: Mat) -> Mat:
+    """Camera-to-world rotation with the second and third axis turned, from the computer-vision to the graphics convention."""
+    return [[row[0], -row[1], -row[2]] for row in m]
+
+
+def to_scene(m: Mat, t: Vec, p: Vec) -> Vec:
+    """World point in the frame of the exported scene: that of the first camera, axes turned, half a turn about y."""
+    x, y, z = to_camera(m, t, p)
+    return -x, -y, z
+
+
+def moved(m: Mat, t: Vec, step: tuple[float, float, float]) -> Vec:
+    """Camera position after a step along its own axes."""
+    return tuple(c(t[i]) + m[i][0] * F.lit(step[0]) + m[i][1] * F.lit(step[1]) + m[i][2] * F.lit(step[2]) for i in range(3))
+
+
+def voter_intrinsic_size(pose, raster) -> Column:
+    """Processed size that focal lengths refer to: the pose's, else the raster's."""
+    return F.coalesce(c(pose), c(raster))
+
+
+def voter_raster_size(pose, raster) -> Column:
+    """Size of a frame's raster: its own, else the pose's; null says that the run can't go on."""
+    return F.coalesce(c(raster), c(pose))
+
+
+def viewer_size(pose, raster, image) -> Column:
+    """Processed size when points are drawn on a frame: the pose's, the raster's, the image's."""
+    return F.coalesce(c(pose), c(raster), c(image))
+
+
+def keyframe_source_size(own, config_intrinsic, config_size, fallback, centre) -> Column:
+    """Size that a keyframe's intrinsics refer to: its own, the configuration's two, the fallback; without its own not less than what the
+    principal point implies, rounded half to even (F19)."""
+    size = F.coalesce(c(own), c(config_intrinsic), c(config_size), c(fallback)).cast("double")
+    implied = F.when(c(own).isNull() & (c(centre) > 0), F.bround(2.0 * c(centre) + 1.0))
+    return F.coalesce(F.greatest(size, implied), size)
+
+
+def colour_fraction(value, fill: float = 0.7) -> Column:
+    """A colour channel of 0..255 as a fraction; a grey fill where there is none."""
+    return F.coalesce(c(value) / F.lit(255.0), F.lit(fill))
+
+
+def scaled_pixel(cx, cz, focal, centre, image, processed) -> Column:
+    """Position on the original image of a point that is in the camera's frame already (F12); null behind the camera."""
+    return (F.when(c(cz) > 0, c(focal) * c(cx) / c(cz) + c(centre))) * (c(image) / c(processed))

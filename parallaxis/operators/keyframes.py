@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import c
+from ..functions.geometry import c, quat_to_matrix, to_opengl
 
 
 def sample_times(spark: SparkSession, keyframes: int, n: int) -> DataFrame:
@@ -53,7 +53,7 @@ def spline_positions(times: DataFrame, frames: DataFrame, columns: list[str]) ->
     rows = frames.orderBy("k").select(*columns).collect()
     k = len(rows)
     if k < 3:
-        got = with_segment(times, frames, k, columns)
+        got = with_segment(times, frames, k, columns)  # one keyframe: itself at every time
         return got.select("frame", "t", *(lerp(x).alias(x) for x in columns))
     co = cubic_coefficients(np.array([[float(v) for v in r] for r in rows]))
     flat = [(i, *(float(v) for v in co[i].T.ravel())) for i in range(k - 1)]
@@ -101,6 +101,8 @@ def rotation_spline(quats: np.ndarray, times: np.ndarray, steps: int = 60) -> np
     """
     q = np.asarray(quats, dtype=float)
     q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    if len(q) == 1:
+        return np.repeat(q, len(times), axis=0)
     inv = q * [-1, -1, -1, 1]
     arc = _log(_mul(inv[:-1], q[1:]))
     n = len(q)
@@ -136,11 +138,39 @@ def rotation_spline(quats: np.ndarray, times: np.ndarray, steps: int = 60) -> np
 
 
 def keyframe_stack(log: DataFrame, session: str, order: list[str], action: str, value: str) -> DataFrame:
-    """Keyframes that are left after a log of appends and undos: a fold over each session's ordered events.
+    """Keyframes that are left after a log of appends and undos, by session with their positions.
 
-    An undo of an empty stack does nothing; other actions are passed over. A session is one recording by hand.
+    An undo of an empty stack does nothing; other actions are passed over. Depths are running sums held at 0 from below; an append stays
+    if the depth never falls below its own again. One ordered pass over a session's events.
     """
-    events = log.where(F.col(action).isin("append", "undo")).groupBy(session).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(action).alias("a"), F.col(value).alias("x")))).alias("e"))
-    kind = log.schema[value].dataType.simpleString()
-    stack = F.aggregate("e", F.array().cast(f"array<{kind}>"), lambda s, e: F.when(e["a"] == "append", F.concat(s, F.array(e["x"]))).otherwise(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))))
-    return events.select(session, F.posexplode(stack).alias("pos", value))
+    step = F.when(F.col(action) == "append", 1).otherwise(-1)
+    events = log.where(F.col(action).isin("append", "undo")).select(F.col(session), *order, F.col(value).alias("_value"), step.alias("_step"))
+    past = W.partitionBy(session).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    future = W.partitionBy(session).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    run = events.withColumn("_sum", F.sum("_step").over(past))
+    deep = run.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(past), F.lit(0)))
+    left = deep.withColumn("_low", F.min("_depth").over(future)).where("_step = 1 and coalesce(_low, _depth) >= _depth")
+    return left.select(session, (F.col("_depth") - 1).cast("int").alias("pos"), F.col("_value").alias(value))
+
+
+def camera_path(frames: DataFrame, n: int) -> DataFrame:
+    """n cameras along keyframes (k, tx, ty, tz, qx, qy, qz, qw, yfov): frame, position, rotation in the graphics convention and field of view (K11,
+    F13, F15 to F18). A single keyframe is repeated. Keyframes are set by hand and a path has some hundred frames, so both are small."""
+    names = ["tx", "ty", "tz", "qx", "qy", "qz", "qw", "yfov"]
+    rows = np.array([[float(r[x]) for x in names] for r in frames.orderBy("k").select(*names).collect()])
+    if not len(rows):
+        raise ValueError("no keyframes")
+    k = len(rows)
+    times = np.linspace(0, k - 1, n) if n > 1 else np.zeros(n)
+    seg = np.minimum(np.floor(times).astype(int), max(k - 2, 0))
+    f = (times - seg)[:, None]
+    if k < 3:
+        at = rows[seg, :3] + f * (rows[np.minimum(seg + 1, k - 1), :3] - rows[seg, :3])
+    else:
+        co = cubic_coefficients(rows[:, :3])[seg]
+        at = co[:, 0] + f * (co[:, 1] + f * (co[:, 2] + f * co[:, 3]))
+    q = rotation_spline(rows[:, 3:7], times)
+    fov = np.interp(times, np.arange(k), rows[:, 7])
+    table = frames.sparkSession.createDataFrame([(i, *map(float, x)) for i, x in enumerate(np.column_stack([at, q, fov]))], "frame int, " + ", ".join(f"{x} double" for x in names))
+    m = to_opengl(quat_to_matrix("qx", "qy", "qz", "qw"))
+    return table.select("frame", "tx", "ty", "tz", *(m[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), "yfov")

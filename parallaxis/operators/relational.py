@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import matrix_to_quat, resize_crop
+
 
 def ordinal(df: DataFrame, order: list[str], out: str = "frame_idx") -> DataFrame:
     """0-based position in the given order (W1, W2). One row a frame, so a single ordered pass."""
     return df.withColumn(out, F.row_number().over(W.orderBy(*order)) - 1)
 
 
-def sample_frames(df: DataFrame, idx: str, video_fps: float, fps: float) -> DataFrame:
-    """Every interval-th frame and its running index; the interval is the rates' quotient, at least 1."""
+def sample_frames(df: DataFrame, idx: str, video_fps: float, fps: float, video: str | None = None) -> DataFrame:
+    """Every interval-th frame and the running index of those kept, in each video if one is named; the interval is the rates' quotient, at least 1
+    (C1, W1). Frames that are missing leave no gap in the index."""
     interval = max(1, int(video_fps / fps))
-    return df.where(F.col(idx) % interval == 0).withColumn("saved_idx", F.floor(F.col(idx) / interval).cast("int"))
+    order = (W.partitionBy(video) if video else W).orderBy(idx)
+    return df.where(F.col(idx) % interval == 0).withColumn("saved_idx", F.row_number().over(order) - 1)
 
 
 def nth(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -82,3 +86,27 @@ def coloured_union(whole: DataFrame, part: DataFrame, n: int, order: list[str])
     a = whole.withColumns({"tag": F.lit("full"), "r": F.coalesce(F.col("r"), F.lit(1.0)), "g": F.coalesce(F.col("g"), F.lit(1.0)), "b": F.coalesce(F.col("b"), F.lit(1.0))})
     b = part.orderBy(*order).limit(n // 2).withColumns({"tag": F.lit("segmented"), "r": F.lit(1.0), "g": F.lit(0.45), "b": F.lit(0.0)})
     return a.unionByName(b)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, width) -> DataFrame:
+    """Pixels (v, u, ...) of two images of one height next to each other: the second is moved by the first one's width."""
+    return left.unionByName(right.withColumn("u", F.col("u") + width))
+
+
+def pose_records(scene: DataFrame, frames: DataFrame, image_size: int) -> DataFrame:
+    """Pose records in the files' form: scene outputs (pos, rotation r00..r22, tx, ty, tz, focal, processed size) zipped with frames (filename,
+    original size) by position, as many as the shorter side has, and the resize and crop that the size implies (C11, K3, J7, F1, F2)."""
+    named = frames.select("filename", "original_width", "original_height")
+    both = scene.join(ordinal(named, ["filename"], "pos"), "pos")
+    q = matrix_to_quat([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)])
+    crop = resize_crop("original_width", "original_height", image_size)
+    return both.select(
+        F.col("pos").cast("int").alias("frame_idx"), "filename", "tx", "ty", "tz", *(x.alias(n) for x, n in zip(q, ("qx", "qy", "qz", "qw"), strict=True)),
+        "focal", "processed_width", "processed_height", "original_width", "original_height", *(x.alias(n) for n, x in crop.items()),
+    )
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """One line of text for the counts of a reprojection check."""
+    share = F.when(F.col("n_confident") > 0, F.col("n_inside") * 100.0 / F.col("n_confident")).otherwise(F.lit(0.0))
+    return metrics.select(F.format_string("%d points, %d confident, %d in front, %d inside (%.1f%%)", "n_points", "n_confident", "n_front", "n_inside", share).alias("line"))

@@ -289,27 +289,28 @@ def intrinsics_scaled(s, d):
 SELECT p_partkey, coalesce(pose_w, raster_w, -1) AS voter_k, coalesce(raster_w, pose_w, -1) AS voter_hw, coalesce(pose_w, raster_w, image_w) AS viewer FROM p""")
 def size_fallback(s, d):
     p = X.table(s, d, "part").selectExpr("p_partkey", "nullif(p_size % 3, 0) AS pose_w", "nullif(p_size % 4, 0) AS raster_w", "p_size AS image_w")
-    return p.select("p_partkey", F.coalesce("pose_w", "raster_w", F.lit(-1)).alias("voter_k"), F.coalesce("raster_w", "pose_w", F.lit(-1)).alias("voter_hw"), F.coalesce("pose_w", "raster_w", "image_w").alias("viewer"))
+    none = F.lit(-1)
+    return p.select("p_partkey", F.coalesce(G.voter_intrinsic_size("pose_w", "raster_w"), none).alias("voter_k"), F.coalesce(G.voter_raster_size("pose_w", "raster_w"), none).alias("voter_hw"), G.viewer_size("pose_w", "raster_w", "image_w").alias("viewer"))
 
 
 @query(f"WITH {X.CAMERAS_SQL} SELECT cam, {', '.join(f'round({m if m[2] == chr(48) else chr(45) + m}, 9) AS {m}' for m in _M)} FROM cams")
 def gl_flip(s, d):
-    return _cameras(s, d).select("cam", *(_r(F.col(m) if m[2] == "0" else -F.col(m), 9).alias(m) for m in _M))
+    m = G.to_opengl([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)])
+    return _cameras(s, d).select("cam", *(_r(m[i][j], 9).alias(f"r{i}{j}") for i in range(3) for j in range(3)))
 
 
 @query(f"""WITH {X.POINTS_SQL}, {X.CAMERAS_SQL}, k AS (SELECT * FROM cams WHERE cam = 0)
 SELECT point, round(-(r00 * (x - tx) + r10 * (y - ty) + r20 * (z - tz)), 6) AS sx, round(-(r01 * (x - tx) + r11 * (y - ty) + r21 * (z - tz)), 6) AS sy, round(r02 * (x - tx) + r12 * (y - ty) + r22 * (z - tz), 6) AS sz FROM pts, k""")
 def scene_transform(s, d):
-    # diag(1, -1, -1) and half a turn about y come to diag(-1, -1, 1).
     at = X.points(s, d).crossJoin(F.broadcast(_cameras(s, d).where("cam = 0").limit(1)))
-    x, y, z = G.to_camera([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)], ("tx", "ty", "tz"), ("x", "y", "z"))
-    return at.select("point", _r(-x).alias("sx"), _r(-y).alias("sy"), _r(z).alias("sz"))
+    x, y, z = G.to_scene([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)], ("tx", "ty", "tz"), ("x", "y", "z"))
+    return at.select("point", _r(x).alias("sx"), _r(y).alias("sy"), _r(z).alias("sz"))
 
 
 @query(f"WITH {X.CAMERAS_SQL} SELECT cam, round(tx + (r00 * 0.5 + r02 * -0.25), 9) AS mx, round(ty + (r10 * 0.5 + r12 * -0.25), 9) AS my, round(tz + (r20 * 0.5 + r22 * -0.25), 9) AS mz FROM cams")
 def move_camera(s, d):
-    step = (0.5, 0.0, -0.25)
-    return _cameras(s, d).select("cam", *(_r(F.col(t) + sum((F.col(f"r{i}{j}") * step[j] for j in range(3)), F.lit(0.0)), 9).alias(n) for i, (t, n) in enumerate((("tx", "mx"), ("ty", "my"), ("tz", "mz")))))
+    at = G.moved([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)], ("tx", "ty", "tz"), (0.5, 0.0, -0.25))
+    return _cameras(s, d).select("cam", *(_r(x, 9).alias(n) for x, n in zip(at, ("mx", "my", "mz"), strict=True)))
 
 
 # Keyframes
@@ -345,9 +346,24 @@ def yfov(s, d):
     return k.select("k", _r(G.yfov("fx", "w", F.col("w") / 2 / 480.0)).alias("yfov"))
 
 
-@query()
+#: A not-a-knot spline: both end conditions give the second and the last but one curvature at once, a tridiagonal system the others.
+_SPLINE = f"""WITH RECURSIVE {X.CAMERAS_SQL}, k AS (SELECT cam AS i, tx AS x, ty AS y, tz AS z FROM q0),
+r AS (SELECT b.i, 6 * (a.x - 2 * b.x + c.x) AS x, 6 * (a.y - 2 * b.y + c.y) AS y, 6 * (a.z - 2 * b.z + c.z) AS z FROM k a JOIN k b ON b.i = a.i + 1 JOIN k c ON c.i = b.i + 1),
+fw AS (SELECT i, 0.0::DOUBLE AS c, x / 6 AS x, y / 6 AS y, z / 6 AS z FROM r WHERE i = 1
+  UNION ALL SELECT r.i, 1 / (4 - f.c), (r.x - f.x) / (4 - f.c), (r.y - f.y) / (4 - f.c), (r.z - f.z) / (4 - f.c) FROM fw f JOIN r ON r.i = f.i + 1 WHERE r.i <= 22),
+bw AS (SELECT i, x / 6 AS x, y / 6 AS y, z / 6 AS z FROM r WHERE i = 23
+  UNION ALL SELECT f.i, f.x - f.c * b.x, f.y - f.c * b.y, f.z - f.c * b.z FROM bw b JOIN fw f ON f.i = b.i - 1),
+s AS (SELECT * FROM bw UNION ALL SELECT 0, 2 * a.x - b.x, 2 * a.y - b.y, 2 * a.z - b.z FROM bw a, bw b WHERE a.i = 1 AND b.i = 2
+  UNION ALL SELECT 24, 2 * a.x - b.x, 2 * a.y - b.y, 2 * a.z - b.z FROM bw a, bw b WHERE a.i = 23 AND b.i = 22),
+t AS (SELECT frame, frame * (24 / 119.0::DOUBLE) AS t FROM range(120) r(frame)), g AS (SELECT frame, t, least(floor(t), 23)::BIGINT AS i FROM t)
+SELECT frame::INTEGER AS frame, round(t, 6) AS t, {", ".join(f"round(a.{x} + (t - g.i) * (b.{x} - a.{x} - (2 * p.{x} + q.{x}) / 6 + (t - g.i) * (p.{x} / 2 + (t - g.i) * (q.{x} - p.{x}) / 6)), 6) AS t{x}" for x in "xyz")}
+FROM g JOIN k a ON a.i = g.i JOIN k b ON b.i = g.i + 1 JOIN s p ON p.i = g.i JOIN s q ON q.i = g.i + 1"""
+
+
+@query(_SPLINE)
 def spline_positions(s, d):
-    return K.spline_positions(K.sample_times(s, 25, 120), _keys(s, d), ["tx", "ty", "tz"])
+    got = K.spline_positions(K.sample_times(s, 25, 120), _keys(s, d), ["tx", "ty", "tz"])
+    return got.select("frame", *(_r(x).alias(x) for x in ("t", "tx", "ty", "tz")))
 
 
 @query()
@@ -358,12 +374,70 @@ def spline_rotations(s, d):
     return s.createDataFrame([(i, float(t), *map(float, q)) for i, (t, q) in enumerate(zip(times, got, strict=True))], "frame int, t double, qx double, qy double, qz double, qw double")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS v FROM events WHERE event_type IN ('purchase', 'error')),
+a AS (SELECT *, sum(v) OVER w AS total FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, total - least(min(total) OVER w, 0) AS depth FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, (depth - 1)::INTEGER AS pos, event_id AS kf FROM b x WHERE v = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.user_id = x.user_id AND (y.ts, y.event_id) > (x.ts, x.event_id) AND y.depth < x.depth)""")
 def keyframe_stack(s, d):
     log = X.table(s, d, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "purchase", "append").when(F.col("event_type") == "error", "undo").otherwise("other").alias("action"))
     return K.keyframe_stack(log.withColumn("kf", F.col("event_id")), "user_id", ["ts", "event_id"], "action", "kf")
 
 
+@query()
+def camera_path(s, d):
+    keys = _keys(s, d).withColumn("yfov", F.lit(0.6) + F.col("k") / 100.0)
+    return K.camera_path(keys, 120)
+
+
+@query("""WITH k AS (SELECT n_nationkey AS k, nullif(n_nationkey % 3, 0) * 300 AS own, nullif(n_nationkey % 5, 0) * 200 AS ci, nullif(n_nationkey % 2, 0) * 700 AS cs, (n_nationkey * 37 - 60) / 2.0::DOUBLE AS cx FROM nation)
+SELECT k, CASE WHEN own IS NULL AND cx > 0 THEN greatest(coalesce(own, ci, cs, 640)::DOUBLE, round_even(2 * cx + 1, 0)) ELSE coalesce(own, ci, cs, 640)::DOUBLE END AS width FROM k""")
+def keyframe_source_size(s, d):
+    k = X.table(s, d, "nation").selectExpr("n_nationkey AS k", "nullif(n_nationkey % 3, 0) * 300 AS own", "nullif(n_nationkey % 5, 0) * 200 AS ci", "nullif(n_nationkey % 2, 0) * 700 AS cs", "cast((n_nationkey * 37 - 60) / 2 AS double) AS cx")
+    return k.select("k", G.keyframe_source_size("own", "ci", "cs", F.lit(640), "cx").alias("width"))
+
+
+# Records, reports, pictures
+
+
+@query(f"""WITH {X.CAMERAS_SQL}, f AS (SELECT printf('frame_%04d.jpg', p_partkey) AS filename, (600 + p_size * 13)::INTEGER AS w, (400 + p_partkey % 300)::INTEGER AS h FROM part),
+o AS (SELECT *, row_number() OVER (ORDER BY filename) - 1 AS pos FROM f),
+z AS (SELECT j.*, round_even(w * (512.0::DOUBLE / greatest(w, h)), 0)::INTEGER AS rw, round_even(h * (512.0::DOUBLE / greatest(w, h)), 0)::INTEGER AS rh FROM (SELECT cam, o.filename, w, h, a, b, c, d, q2.tx, q2.ty, q2.tz, q2.focal FROM q2 JOIN o ON o.pos = q2.cam) j),
+y AS (SELECT *, rw // 2 AS cx, rh // 2 AS cy FROM z), v AS (SELECT *, ((2 * cx) // 16) * 8.0::DOUBLE AS hw, CASE WHEN rw = rh THEN 3 * (((2 * cx) // 16) * 8.0::DOUBLE) / 4 ELSE ((2 * cy) // 16) * 8.0::DOUBLE END AS hh FROM y)
+SELECT cam::INTEGER AS frame_idx, filename, round(a, 9) AS qx, round(d, 9) AS qw, focal, w AS original_width, h AS original_height, rw AS resized_width, rh AS resized_height, cx - hw AS crop_left, cy - hh AS crop_top, cx + hw AS crop_right, cy + hh AS crop_bottom FROM v""")
+def pose_records(s, d):
+    scene = _cameras(s, d).join(X.poses(s, d).select("cam", "focal"), "cam").withColumnsRenamed({"cam": "pos"}).withColumns({"processed_width": F.lit(512), "processed_height": F.lit(384)})
+    frames = X.table(s, d, "part").select(F.format_string("frame_%04d.jpg", "p_partkey").alias("filename"), F.expr("cast(600 + p_size * 13 AS int)").alias("original_width"), F.expr("cast(400 + p_partkey % 300 AS int)").alias("original_height"))
+    got = J.pose_records(scene, frames, 512)
+    return got.select("frame_idx", "filename", _r("qx", 9).alias("qx"), _r("qw", 9).alias("qw"), "focal", "original_width", "original_height", "resized_width", "resized_height", "crop_left", "crop_top", "crop_right", "crop_bottom")
+
+
+@query("""SELECT p_partkey AS id, p_partkey % 24 AS v, p_partkey % 32 AS u FROM part UNION ALL SELECT s_suppkey AS id, s_suppkey % 24 AS v, s_suppkey % 32 + 32 AS u FROM supplier""")
+def side_by_side(s, d):
+    left = X.table(s, d, "part").selectExpr("p_partkey AS id", "p_partkey % 24 AS v", "p_partkey % 32 AS u")
+    right = X.table(s, d, "supplier").selectExpr("s_suppkey AS id", "s_suppkey % 24 AS v", "s_suppkey % 32 AS u")
+    return J.side_by_side(left, right, W)
+
+
+@query(f"""WITH {X.POINTS_SQL}, a AS (SELECT *, 24 * x / z + 16 AS pu, 24 * y / z + 12 AS pv FROM pts WHERE conf)
+SELECT point, trunc(pu * (1280 / 32.0::DOUBLE))::BIGINT AS u, trunc(pv * (720 / 24.0::DOUBLE))::BIGINT AS v FROM a WHERE pu * 40 >= 0 AND pu * 40 < 1280 AND pv * 30 >= 0 AND pv * 30 < 720""")
+def camera_frame_points(s, d):
+    """Points that are in the camera's frame already, on the original image."""
+    p = X.points(s, d).where("conf").select("point", G.scaled_pixel("x", "z", F.lit(24.0), F.lit(16.0), F.lit(1280), F.lit(32)).alias("pu"), G.scaled_pixel("y", "z", F.lit(24.0), F.lit(12.0), F.lit(720), F.lit(24)).alias("pv"))
+    return p.where(G.inside_float("pu", "pv", F.lit(1280), F.lit(720))).select("point", F.col("pu").cast("long").alias("u"), F.col("pv").cast("long").alias("v"))
+
+
+@query(f"""WITH {X.SEEN_SQL}, m AS (SELECT (SELECT count(*) FROM pts) AS n, (SELECT count(*) FROM pts WHERE conf) AS c,
+  (SELECT count(*) FROM eye WHERE cam = 0 AND conf AND cz > 0) AS f, (SELECT count(*) FROM uv WHERE cam = 0 AND conf AND u >= 0 AND u < 32 AND v >= 0 AND v < 24) AS i)
+SELECT printf('%d points, %d confident, %d in front, %d inside (%.1f%%)', n, c, f, i, CASE WHEN c > 0 THEN i * 100.0::DOUBLE / c ELSE 0.0::DOUBLE END) AS line FROM m""")
+def validation_report(s, d):
+    return J.report(reprojection_metrics(X.points(s, d), X.poses(s, d).where("cam = 0"), W, H))
+
+
+@query("SELECT p_partkey, coalesce(nullif(p_size % 4, 0) * 50 / 255.0::DOUBLE, 0.7::DOUBLE) AS r FROM part")
+def colour_fill(s, d):
+    return X.table(s, d, "part").select("p_partkey", G.colour_fraction(F.expr("nullif(p_size % 4, 0) * 50")).alias("r"))
+
+
 # Colours, samples, names
 
 
