@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, joined_components
 from .runtime import Scratch, bounded, materialise, shielded, small_batches
 from .textvec import LOWER, mix, texts_of
 
@@ -419,7 +419,7 @@ def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int,
     stars = met.withColumnRenamed("n", "nb").join(least, "key").where(f"fp <> a and {near}")
     tried = scratch.keep(stars.select("a", F.col("fp").alias("b")).distinct())
     links = verified(tried)
-    roots = scratch.keep(connected_components(links))
+    roots = connected_components(links, scratch=scratch)
     placed = met.join(bounded(roots, 16), met["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
     split = scratch.keep(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
     rest = scratch.keep(placed.join(bounded(split, 16), "key", "left_semi"))
@@ -429,7 +429,7 @@ def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int,
     new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if new.isEmpty():
         return roots
-    return scratch.keep(connected_components(links.union(verified(new))))
+    return joined_components(roots, verified(new), scratch)
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

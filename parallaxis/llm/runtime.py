@@ -38,15 +38,20 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         ensure_checkpoint_dir(spark)
-        self.spark, self.tables = spark, 0
+        self.spark, self.paths = spark, {}
         self.top = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid4()}"
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The table, written and read again."""
-        self.tables += 1
-        path = f"{self.top}/{self.tables}"
+        path = f"{self.top}/{len(self.paths)}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Removes a table that nothing reads any more."""
+        remove(self.spark, self.paths[id(table)][1])
 
     def clear(self) -> None:
         """Removes all tables; what is returned to callers must have been written elsewhere."""
