@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -139,7 +140,7 @@ def _dealt(src: DataFrame, rules: LmRules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            size = np.array([len(t) if t else 0 for t in batch.column("_t").cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+            size = pc.binary_length(batch.column("_t")).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = held + np.cumsum(size + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + ends // rules.block_bytes), pa.array(size)], names=[*batch.schema.names, "block", "bytes"])
             held = int(ends[-1]) if len(ends) else held

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .runtime import shielded
 
 #: Rows of a bucket, on average, in which rows are numbered; only the buckets' counts are summed in one place.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 #: Buckets at most: their counts are broadcast.
 BUCKETS = 1 << 18
 ROUNDS = 6
