@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parallaxis.plans.pipeline import segment_points
 from parallaxis.sources import readers as R
@@ -84,3 +85,36 @@ def test_segmenting_undoes_crops_and_resizes_depths(spark, tmp_path, case):
     got = segment_points(spark, *(str(tmp_path / x) for x in ("poses.json", "masks", "depths", "pts")), min_votes=2, depth_abs=0.01, depth_rel=0.01).collect()
     # Both frames hold the same points.
     assert sorted((round(r.x, 4), round(r.y, 4), round(r.z, 4)) for r in got) == sorted(tuple(round(float(x), 4) for x in pts[i, j]) for i, j in zip(*np.nonzero(want), strict=True) for _ in range(2))
+
+
+def test_records_and_listings_round_trip(spark, tmp_path):
+    from parallaxis.functions.geometry import keyframe_source_size
+    from parallaxis.operators.keyframes import camera_path
+    from parallaxis.sources.readers import exists, list_frames, read_keyframes, read_poses
+    from parallaxis.sources.writers import frame_name, prepare, write_keyframes, write_points, write_poses
+
+    prepare(str(tmp_path / "frames"), wipe=False)
+    for name in ("frame_0001.jpg", "frame_0000.jpg", "B.JPG", "c.png", "notes.txt"):
+        (tmp_path / "frames" / name).write_bytes(b"x" * 1048576)
+    folder = str(tmp_path / "frames")
+    assert [r.filename for r in list_frames(spark, folder).collect()] == ["frame_0000.jpg", "frame_0001.jpg"]
+    assert [r.filename for r in list_frames(spark, folder, "image").collect()] == ["B.JPG", "c.png", "frame_0000.jpg", "frame_0001.jpg"]
+    assert [(r.filename, r.size_mb) for r in list_frames(spark, folder, "all").collect()][-1] == ("notes.txt", 1.0)
+    prepare(folder, wipe=True)
+    assert not list((tmp_path / "frames").iterdir())
+    assert spark.range(1).select(frame_name(F.lit(7)).alias("n")).first().n == "frame_0007.jpg"
+    poses = spark.createDataFrame([(1, "b.jpg", 0.5, 32), (0, "a.jpg", 0.25, 32)], "frame_idx int, filename string, tx double, processed_width int")
+    write_poses(poses, str(tmp_path / "poses.json"))
+    back = read_poses(spark, str(tmp_path / "poses.json")).collect()
+    assert [(r.frame_idx, r.filename, r.tx, r.processed_width, r.crop_left) for r in back] == [(0, "a.jpg", 0.25, 32, None), (1, "b.jpg", 0.5, 32, None)]
+    eye = [[1.0, 0.0, 0.0, 2.0], [0.0, 1.0, 0.0, 3.0], [0.0, 0.0, 1.0, 4.0], [0.0, 0.0, 0.0, 1.0]]
+    lens = [[100.0, 0.0, 320.0], [0.0, 100.0, 240.0], [0.0, 0.0, 1.0]]
+    keys = spark.createDataFrame([(0, eye, lens)], "k int, c2w_opencv array<array<double>>, intrinsic array<array<double>>")
+    write_keyframes(keys, str(tmp_path / "out" / "keys.json"), 600, 480)
+    got = read_keyframes(spark, str(tmp_path / "out" / "keys.json"))
+    size = keyframe_source_size("intrinsic_width", F.lit(None), "width", F.lit(1), F.expr("intrinsic[0][2]"))
+    assert got.select("k", "c2w_opencv", size.alias("w")).first() == (0, eye, 641.0)
+    one = got.selectExpr("k", *(f"c2w_opencv[{i}][3] AS t{x}" for i, x in enumerate("xyz")), "0D AS qx", "0D AS qy", "0D AS qz", "1D AS qw", "0.5D AS yfov")
+    assert [(r.frame, r.tx, r.tz, r.r00, r.r11, r.r22, r.yfov) for r in camera_path(one, 3).collect()] == [(i, 2.0, 4.0, 1.0, -1.0, -1.0, 0.5) for i in range(3)]
+    write_points(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double"), str(tmp_path / "points"))
+    assert spark.read.parquet(str(tmp_path / "points")).first() == (1.0, 2.0, 3.0) and exists(spark, str(tmp_path / "points")) and not exists(spark, str(tmp_path / "none"))
