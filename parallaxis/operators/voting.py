@@ -54,15 +54,15 @@ def projected(points: DataFrame, cameras: DataFrame, key: str, partitions: int |
     each, are spread over all tasks first: a few files would else mean a few tasks, and the exchange keeps their columns from being worked
     out again for every pair.
     """
-    spread = points.select(key, "x", "y", "z").repartition(partitions or _tasks(points))
+    spread = points.select(key, "x", "y", "z").repartition(partitions) if partitions else _spread(points.select(key, "x", "y", "z"))
     small = literal_cameras(cameras)
     pairs = spread.crossJoin(F.broadcast(small) if small is not cameras else small)
     d = [F.col("x") - F.col("tx"), F.col("y") - F.col("ty"), F.col("z") - F.col("tz")]
-    cam = [F.col(f"r0{i}") * d[0] + F.col(f"r1{i}") * d[1] + F.col(f"r2{i}") * d[2] for i in range(3)]
-    front = pairs.select(key, "cam", "fx", "fy", "ux", "uy", cam[0].alias("cx"), cam[1].alias("cy"), cam[2].alias("cz")).where((F.col("cz") > 0) & ~F.isnan("cz"))
-    u = F.when(F.col("cz") > 0, F.col("fx") * F.col("cx") / F.col("cz") + F.col("ux"))
-    v = F.when(F.col("cz") > 0, F.col("fy") * F.col("cy") / F.col("cz") + F.col("uy"))
-    return front.select(key, "cam", "cz", u.alias("u"), v.alias("v"))
+    eye = F.struct(*((F.col(f"r0{i}") * d[0] + F.col(f"r1{i}") * d[1] + F.col(f"r2{i}") * d[2]).alias(n) for i, n in enumerate(("x", "y", "z"))))
+    # Exploded, so that conditions on the values are not pushed into the join with the values worked out anew for each mention.
+    front = pairs.select(key, "cam", "fx", "fy", "ux", "uy", F.explode(F.array(eye)).alias("eye")).where("eye.z > 0 and not isnan(eye.z)")
+    pixel = F.struct((F.col("fx") * F.col("eye.x") / F.col("eye.z") + F.col("ux")).alias("u"), (F.col("fy") * F.col("eye.y") / F.col("eye.z") + F.col("uy")).alias("v"))
+    return front.select(key, "cam", F.col("eye.z").alias("cz"), F.explode(F.array(pixel)).alias("px")).select(key, "cam", "cz", "px.u", "px.v")
 
 
 def ballots(points: DataFrame, cameras: DataFrame, key: str, width: int, height: int, mask: Callable[..., Column], depth: Callable[..., Column], absolute: float = 0.03, relative: float = 0.05) -> DataFrame:
@@ -129,7 +129,9 @@ def vote(points: DataFrame, cameras: DataFrame, key: str, width: int, height: in
 
 def _spread(points: DataFrame) -> DataFrame:
     """The points over all tasks, if they lie in fewer partitions than there are."""
-    if points.isStreaming or points.rdd.getNumPartitions() >= points.sparkSession.sparkContext.defaultParallelism:
+    if points.isStreaming:
+        return points.repartition(_tasks(points))
+    if points.rdd.getNumPartitions() >= points.sparkSession.sparkContext.defaultParallelism:
         return points
     return points.repartition(_tasks(points))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import c, depth_agrees, inside_float, nearest_source, quat_to_matrix, to_camera, to_original, truncated
 from ..operators.rasters import bilinear, fix_orientation, mask_source_pixel
 from ..operators.relational import candidates, last_wins, ordinal, painted
-from ..operators.voting import camera_matrices, vote_rasters
+from ..operators.voting import _spread, camera_matrices, literal_cameras, vote_rasters
 from ..sources.readers import pixels, read_npz, read_poses
 
 
@@ -80,13 +80,19 @@ def project_to_frames(points: DataFrame, poses: DataFrame, depths: DataFrame | N
     m = quat_to_matrix("qx", "qy", "qz", "qw")
     pw, ph = F.col("processed_width"), F.col("processed_height")
     cams = poses.select("filename", *(m[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), "tx", "ty", "tz", "focal", pw.alias("pw"), ph.alias("ph"), "original_width", "original_height", F.coalesce("resized_width", pw).alias("rw"), F.coalesce("resized_height", ph).alias("rh"), F.coalesce("crop_left", F.lit(0.0)).alias("cl"), F.coalesce("crop_top", F.lit(0.0)).alias("ct"))
-    pairs = points.select("x", "y", "z").crossJoin(cams)
+    # Frames are few: their poses are counted and broadcast, points are spread and stay where they are.
+    small = literal_cameras(cams)
+    pairs = _spread(points.select("x", "y", "z")).crossJoin(F.broadcast(small) if small is not cams else small)
     r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    cx, cy, cz = to_camera(r, ("tx", "ty", "tz"), ("x", "y", "z"))
-    front = pairs.withColumns({"cx": cx, "cy": cy, "cz": cz}).where("cz > 0 and not isnan(cz)")
-    seen = front.withColumns({"pu": F.col("focal") * F.col("cx") / F.col("cz") + F.col("pw") / 2, "pv": F.col("focal") * F.col("cy") / F.col("cz") + F.col("ph") / 2})
+    eye = F.struct(*(x.alias(n) for x, n in zip(to_camera(r, ("tx", "ty", "tz"), ("x", "y", "z")), ("x", "y", "z"), strict=True)))
+    frame = ["filename", "focal", "pw", "ph", "original_width", "original_height", "rw", "rh", "cl", "ct"]
+    # Exploded, so that conditions are not pushed into the join with the values worked out anew for each mention.
+    front = pairs.select(*frame, F.explode(F.array(eye)).alias("eye")).where("eye.z > 0 and not isnan(eye.z)")
+    pixel = F.struct((F.col("focal") * F.col("eye.x") / F.col("eye.z") + F.col("pw") / 2).alias("u"), (F.col("focal") * F.col("eye.y") / F.col("eye.z") + F.col("ph") / 2).alias("v"))
+    seen = front.select(*frame, F.col("eye.z").alias("cz"), F.explode(F.array(pixel)).alias("px")).select(*frame, "cz", F.col("px.u").alias("pu"), F.col("px.v").alias("pv"))
+    # Positions in (-1, 0) are cut to 0, so they are inside.
+    seen = seen.where("pu > -1 and pu < pw and pv > -1 and pv < ph")
     ui, vi = truncated("pu"), truncated("pv")
-    seen = seen.where((ui >= 0) & (ui < F.col("pw")) & (vi >= 0) & (vi < F.col("ph")))
     if depths is not None:
         d = depths.select(F.col("filename").alias("df"), F.col("v").alias("dv"), F.col("u").alias("du"), "depth")
         seen = seen.join(d, (F.col("filename") == F.col("df")) & (vi == F.col("dv")) & (ui == F.col("du")), "left").where(F.col("depth").isNull() | depth_agrees("cz", "depth", depth_abs, depth_rel))
