@@ -336,6 +336,10 @@ def _first_of_each(df: DataFrame, marked: DataFrame, id_col: str, text_col: str)
 #: One set in SAMPLE is looked at to find keys of very many sets; HOT of the looked at make one.
 SAMPLE = 64
 HOT = 8
+#: Keys of a large set, values in a key, and shingles from which on a set is large.
+BANDS = 14
+ROWS = 4
+SMALL_SET = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -352,11 +356,32 @@ def shingle_sets(column: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
             yield np.unique(h)
 
 
-def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, whole: bool) -> DataFrame:
-    """keep (two longs or so), fp (a hash of the set), n (its size) and its hashes: all of them, or those one of which similar sets share.
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a large set (ascending hashes): hashes of ROWS of its least values in equal ranges of the hashes, an empty range lent the next one's.
 
-    Sets of similarity t have t * n hashes in common at least, so one is among the n - t * n + 1 smallest of either, whatever the order.
+    A value is the same in two sets with their similarity's chance, so sets of similarity t share one of BANDS keys with chance
+    1 - (1 - t^ROWS)^BANDS: 0.9989 at 0.8, 0.07 at 0.27.
     """
+    bins = BANDS * ROWS
+    at = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    first = np.searchsorted(at, np.arange(bins, dtype=np.uint64))
+    lent = first % len(h)  # the least value of a range, or of the next one that has any
+    value = mix(h[lent] + np.arange(bins, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = mix(key * _STEP + value[:, i])
+    return key
+
+
+def set_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """What similar sets share one of: of small sets their smallest hashes, for sets of similarity t have t * n hashes in common at least, so
+    one is among the n - t * n + 1 smallest of either; of large ones band keys, which do not meet for a passage in common. Sets between have both."""
+    small = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if similarity * len(h) <= SMALL_SET else h[:0]
+    return np.concatenate([small, band_keys(h)]) if len(h) >= SMALL_SET else small
+
+
+def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, whole: bool) -> DataFrame:
+    """keep (two longs or so), fp (a hash of the set), n (its size) and all of its hashes, or its keys."""
     small_batches(df.sparkSession)
     names = [*keep, "fp", "n", "hashes"]
     src = df.select(*keep, "_text")
@@ -368,7 +393,7 @@ def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, w
             for h in shingle_sets(batch.column(len(keep)), shingle):
                 fps.append(mix(np.atleast_1d(mix(h + _STEP).sum(dtype=np.uint64)))[0] if len(h) else np.uint64(0))
                 sizes.append(len(h))
-                held.append(h if whole else h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+                held.append(h if whole else set_keys(h, similarity))
             ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
             flat = np.concatenate([*held, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
@@ -379,9 +404,9 @@ def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, w
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: id, text_hash, fp (a hash of its shingle set) and root, equal for the texts of a group.
 
-    Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`; all such pairs are found or lie in
-    one group already. Texts without a word are alike. A set is compared with the least set of each of its keys, which joins nearly all
-    groups; then those of a key that lie in different groups are compared pair by pair.
+    Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`: all such pairs of small sets, and those of
+    large ones with the chance that band_keys gives, are found or lie in one group already. Texts without a word are alike. A set is compared with one other first, the least of most of its keys, which joins
+    nearly all groups; then those of a key that lie in different groups are compared pair by pair.
     """
     scratch = Scratch(df.sparkSession)
     try:
@@ -397,36 +422,37 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the sets that are linked."""
     sets = rows.groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
-    keyed = sets.select("fp", "n", F.posexplode("hashes").alias("pos", "key"))
+    keyed = sets.select("fp", "n", F.explode("hashes").alias("key"))
     # Keys of very many sets, as a sample shows them, are dealt over several tasks; which ones changes the plan alone, not the result.
     some = rows.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("hashes").alias("key")).distinct()
     hot = scratch.keep(some.groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot")))
     dealt = keyed.join(bounded(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SAMPLE))).otherwise(F.lit(-1)))
     sharing = dealt.repartition("key", "salt").withColumn("sharing", F.count("*").over(W.partitionBy("key", "salt")))
-    met = scratch.keep(sharing.where("hot or sharing > 1").select("key", "fp", "n", "pos"))
+    met = scratch.keep(sharing.where("hot or sharing > 1").select("key", "fp", "n"))
     need = f"ceil({similarity / (1 + similarity)!r} * (na + nb) - 1e-9)"
     near = f"least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        at = scratch.keep(rows.join(bounded(scratch.keep(wanted), 16), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("void"), F.col("_id").alias("id"), F.col("text_hash").alias("h"))).alias("at")).select(F.col("at.id").alias("_aid"), F.col("at.h").alias("_ah")))
+        """The pairs that reach the similarity, by whole sets."""
+        wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+        at = scratch.keep(rows.join(bounded(wanted, 16), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("void"), F.col("_id").alias("id"), F.col("text_hash").alias("h"))).alias("at")).select(F.col("at.id").alias("_aid"), F.col("at.h").alias("_ah")))
         texts = src.join(bounded(at), src["_id"].eqNullSafe(F.col("_aid")) & (src["text_hash"] == F.col("_ah"))).select("_text")
         full = scratch.keep(_set_rows(texts, [], shingle, similarity, True).dropDuplicates(["fp"]))
         one = lambda x: full.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
-        return scratch.keep(pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").where(f"size(array_intersect(ha, hb)) >= {need}").select("a", "b"))
+        return scratch.keep(pairs.join(one("a"), "a").join(one("b"), "b").where(f"size(array_intersect(ha, hb)) >= {need}").select("a", "b"))
 
+    # First each set with one other, the least of most of its keys.
     least = scratch.keep(met.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("at")).select("key", F.col("at.fp").alias("a"), F.col("at.n").alias("na")))
-    stars = met.withColumnRenamed("n", "nb").join(least, "key").where(f"fp <> a and {near}")
-    tried = scratch.keep(stars.select("a", F.col("fp").alias("b")).distinct())
+    stars = met.withColumnRenamed("n", "nb").join(least, "key").where(f"fp <> a and {near}").groupBy("a", "fp").count()
+    tried = scratch.keep(stars.groupBy(F.col("fp").alias("b")).agg(F.max_by("a", "count").alias("a")).select("a", "b"))
     links = verified(tried)
     roots = connected_components(links, scratch=scratch)
-    placed = met.join(bounded(roots, 16), met["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    placed = met.join(bounded(roots, 16), met["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     split = scratch.keep(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
     rest = scratch.keep(placed.join(bounded(split, 16), "key", "left_semi"))
-    side = lambda x: rest.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "pos", "root")))
-    # Hashes before the smallest one in common lie in one of the sets only.
-    can = F.expr(f"keya = keyb and a < b and roota <> rootb and {near} and posa + posb <= na + nb - 2 * {need}")
-    new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    side = lambda x: rest.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "root")))
+    can = F.expr(f"keya = keyb and a < b and roota <> rootb and {near}")
+    new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if new.isEmpty():
         return roots
     return joined_components(roots, verified(new), scratch)
