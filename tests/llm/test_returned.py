@@ -229,3 +229,13 @@ def test_op10(spark, texts):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if x == high else x for k, x in root.items()}
     assert {i: r.component_id for i, r in got.items()} == root
+
+
+def test_op2_same_as_duckdb(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(Q.oracle_sql()["op2_pareto_mix"])
+    cols = sorted(want.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in rows(spark, "op2_pareto_mix")) == sorted(tuple(dict(zip(want.columns, r, strict=True))[c] for c in cols) for r in want.fetchall())
