@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components, joined_components
-from .runtime import Scratch, bounded, materialise, shielded, small_batches
+from .runtime import Scratch, bounded, free_name, materialise, shielded, small_batches
 from .textvec import LOWER, mix, texts_of
 
 BITS = 64
@@ -62,7 +62,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", shingle: int = 3, ou
     """The columns in keep and the fingerprint of the text as a signed long."""
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    src = df.select(*keep, F.col(text_col).alias("_t"))
+    src = df.select(*keep, F.col(text_col).alias(free_name(df, "_t")))
     names = [*keep, out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{out}` long"])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import materialise, small_batches
+from .runtime import free_name, materialise, small_batches
 
 #: Words, and pieces of words, that a Python worker remembers before it starts anew.
 CACHE_WORDS = 600_000
@@ -110,7 +110,7 @@ def tokenize(df: DataFrame, path: str, text_col: str = "text", end_id: int = 1,
     the partition, and the ids before the document in its partition."""
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col]
-    src = df.select(*keep, F.col(text_col).alias("_t"))
+    src = df.select(*keep, F.col(text_col).alias(free_name(df, "_t")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{ids}` binary", "_n long", "_part int", "_before long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

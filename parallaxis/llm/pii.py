@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import free_name, small_batches
 
 #: Kinds in the order that ties of a start are listed in; those after phone are the method's own.
 KINDS = ("email", "ip", "card", "phone", "account", "url", "handle")
@@ -142,7 +142,7 @@ def find_pii(df: DataFrame, text_col: str = "text", out: str = "pii") -> DataFra
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col and c.lower() != out.lower()]
-    src = df.select(*keep, F.col(text_col).alias("_t"))
+    src = df.select(*keep, F.col(text_col).alias(free_name(df, "_t")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{out}` array<struct<kind:string,start:long,end:long>>"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import free_name, small_batches
 from .textvec import Texts, hash_spans, mix, texts_of
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +108,7 @@ def repetition(df: DataFrame, text_col: str = "text", rules: RepetitionRules | N
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}gram_chars" for n, _ in rules.ngrams)]
     made = {x.lower() for x in (*counts, "base_failed", "kept")}
     keep = [c for c in df.columns if c != text_col and c.lower() not in made]
-    src = df.select(*keep, F.col(text_col).alias("_t"))
+    src = df.select(*keep, F.col(text_col).alias(free_name(df, "_t")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *(f"{c} long" for c in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

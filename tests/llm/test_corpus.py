@@ -490,7 +490,7 @@ def test_pipeline_drops_documents_of_similar_shingle_sets(spark):
             for _ in range(rng.randint(1, 4)):
                 other[rng.randrange(len(other))] = f"x{rng.randrange(3000)}"
             texts.append(" ".join(other))
-    # A passage of more than KEY_SETS documents, and a large group of near copies.
+    # A passage that many documents share, and a large group of near copies.
     passage = [f"p{i}" for i in range(100)]
     texts += [" ".join([*passage, *(f"y{i}z{j}" for j in range(i % 40))]) for i in range(90)]
     sets = []
