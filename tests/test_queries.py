@@ -33,3 +33,8 @@ def test_same_as_duckdb(spark, name):
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
 def test_others_have_rows(spark, name):
     assert core.queries()[name](spark, str(SF)).count() > 0
+
+
+def test_resized_rasters_are_not_broadcast(spark):
+    got = core.queries()["mask_resize_nearest"](spark, str(SF))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
