@@ -529,3 +529,33 @@ def test_pii_takes_very_long_digit_runs():
     assert not [x for x in find(f"at 1.2.3.{'9' * 5000} here") if x[1] == 1]
     far = "0" * 5000 + "7"
     assert [x for x in find(f"1.2.3.{far}") if x[1] == 1] == [(0, 1, 6 + len(far))]
+
+
+def _pairs_seen(module, monkeypatch, df):
+    """Rows of df and the number of pairs that the module wrote while it was worked out."""
+    seen, keep = [], module.Scratch.keep
+
+    def counted(self, table):
+        out = keep(self, table)
+        if table.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(module.Scratch, "keep", counted)
+    rows = df().collect()
+    return rows, sum(seen)
+
+
+def test_long_lines_do_not_meet_for_one_passage_alone(spark, monkeypatch):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(16)
+    word = lambda: f"word{rng.randrange(10**7)}x"
+    # Words with an anchor or two, in 150 unlike lines; a near copy of one and two short lines that are alike.
+    passage = [word() for _ in range(6)]
+    lines = [[*(word() for _ in range(40)), *passage, *(word() for _ in range(40))] for _ in range(150)]
+    lines += [[*lines[3][:20], "other", *lines[3][21:]], [*passage, "one", "two", "three"], [*passage, "one", "two", "four"]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows, pairs = _pairs_seen(linededup, monkeypatch, lambda: dedup_lines(docs))
+    assert {r.doc_id for r in rows if r.n_dropped} == {150, 152}
+    assert pairs < 150
