@@ -336,6 +336,9 @@ def _first_of_each(df: DataFrame, marked: DataFrame, id_col: str, text_col: str)
 #: One set in SAMPLE is looked at to find keys of very many sets; HOT of the looked at make one.
 SAMPLE = 64
 HOT = 8
+#: SimHash bits in which sets differ at most that meet by it, and longs of a set's sketch.
+RADIUS = 3
+SKETCH = 4
 #: Keys of a large set, values in a key, and shingles from which on a set is large.
 BANDS = 14
 ROWS = 4
@@ -380,23 +383,42 @@ def set_keys(h: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate([small, band_keys(h)]) if len(h) >= SMALL_SET else small
 
 
+def set_simhash(h: np.ndarray) -> np.uint64:
+    """SimHash of a set of hashes: a bit is 1 if it is set in over half of them; 0 of an empty set."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), 1 << 15):
+        some = np.ascontiguousarray(h[at : at + (1 << 15)])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def set_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the members in each of SKETCH * 64 places: as many as differ between two sets, so many members at least are in one set alone."""
+    odd = np.bincount((mix(h ^ _STEP) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _set_rows(df: DataFrame, keep: list[str], shingle: int, similarity: float, whole: bool) -> DataFrame:
-    """keep (two longs or so), fp (a hash of the set), n (its size) and all of its hashes, or its keys."""
+    """keep (two longs or so), fp (a hash of the set), n (its size) and all of its hashes, or its keys, SimHash (sh) and sketch (p0 and so on)."""
     small_batches(df.sparkSession)
-    names = [*keep, "fp", "n", "hashes"]
+    signs = [] if whole else ["sh", *(f"p{i}" for i in range(SKETCH))]
+    names = [*keep, "fp", "n", *signs, "hashes"]
     src = df.select(*keep, "_text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "fp long, n long, hashes array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "fp long, n long", *(f"{c} long" for c in signs), "hashes array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, held = [], [], []
+            fps, sizes, held, marks = [], [], [], []
             for h in shingle_sets(batch.column(len(keep)), shingle):
                 fps.append(mix(np.atleast_1d(mix(h + _STEP).sum(dtype=np.uint64)))[0] if len(h) else np.uint64(0))
                 sizes.append(len(h))
                 held.append(h if whole else set_keys(h, similarity))
+                if not whole:
+                    marks.append(np.append(set_simhash(h).view(np.int64), set_sketch(h)))
             ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
             flat = np.concatenate([*held, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+            table = np.array(marks, dtype=np.int64).reshape(-1, len(signs)) if signs else None
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(signs))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
     return src.mapInArrow(run, schema)
 
@@ -405,8 +427,9 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, text_hash, fp (a hash of its shingle set) and root, equal for the texts of a group.
 
     Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`: all such pairs of small sets, and those of
-    large ones with the chance that band_keys gives, are found or lie in one group already. Texts without a word are alike. A set is compared with one other first, the least of most of its keys, which joins
-    nearly all groups; then those of a key that lie in different groups are compared pair by pair.
+    large ones with the chance that band_keys gives, are found or lie in one group already. Texts without a word are alike. Sets meet first by SimHashes of the sets that differ
+    in RADIUS bits at most, and each with one other, the least of most of its keys, which joins nearly all groups; then those of a key that lie in different groups
+    are compared pair by pair, if their sketches leave it open. All pairs that meet are verified on whole sets.
     """
     scratch = Scratch(df.sparkSession)
     try:
@@ -419,9 +442,29 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scratch.clear()
 
 
+def _simhash_pairs(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (fp, n, sh) that SimHash brings together: those of one SimHash with the least of them, and these where two SimHashes lie within the radius."""
+    hashes = scratch.keep(sets.groupBy("sh").agg(F.min("fp").alias("at"), F.count("*").alias("sets")))
+    fps = hashes.select(F.col("sh").alias("fp"))
+    plan = plan_search(fps, RADIUS)
+    small = sets.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of a few longs
+    try:
+        links = scratch.keep(link_rows(probe_rows(fps, plan), RADIUS).distinct()) if plan else None
+    finally:
+        sets.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    same = sets.select("sh", "fp").join(bounded(hashes.where("sets > 1").select("sh", "at"), 32), "sh").where("fp <> at").select(F.col("fp").alias("a"), F.col("at").alias("b"))
+    if links is None:
+        return same
+    of = lambda x: hashes.select(F.col("sh").alias(x), F.col("at").alias(f"at{x}"))
+    return same.union(links.join(of("a"), "a").join(of("b"), "b").select("ata", "atb"))
+
+
 def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the sets that are linked."""
+    signs = [f"p{i}" for i in range(SKETCH)]
     sets = rows.groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
+    marks = scratch.keep(rows.groupBy("fp", "n").agg(*(F.first(c).alias(c) for c in ("sh", *signs))))
     keyed = sets.select("fp", "n", F.explode("hashes").alias("key"))
     # Keys of very many sets, as a sample shows them, are dealt over several tasks; which ones changes the plan alone, not the result.
     some = rows.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(SAMPLE)) == 0).select("fp", F.explode("hashes").alias("key")).distinct()
@@ -444,15 +487,18 @@ def _set_links(scratch: Scratch, src: DataFrame, rows: DataFrame, shingle: int,
     # First each set with one other, the least of most of its keys.
     least = scratch.keep(met.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("at")).select("key", F.col("at.fp").alias("a"), F.col("at.n").alias("na")))
     stars = met.withColumnRenamed("n", "nb").join(least, "key").where(f"fp <> a and {near}").groupBy("a", "fp").count()
-    tried = scratch.keep(stars.groupBy(F.col("fp").alias("b")).agg(F.max_by("a", "count").alias("a")).select("a", "b"))
+    starred = stars.groupBy(F.col("fp").alias("b")).agg(F.max_by("a", "count").alias("a")).select("a", "b")
+    tried = scratch.keep(starred.union(_simhash_pairs(scratch, marks)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = verified(tried)
     roots = connected_components(links, scratch=scratch)
     placed = met.join(bounded(roots, 16), met["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     split = scratch.keep(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-    rest = scratch.keep(placed.join(bounded(split, 16), "key", "left_semi"))
-    side = lambda x: rest.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "root")))
-    can = F.expr(f"keya = keyb and a < b and roota <> rootb and {near}")
-    new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = scratch.keep(placed.join(bounded(split, 16), "key", "left_semi").join(marks.select("fp", *signs), "fp"))
+    side = lambda x: rest.select(F.col("key").alias(f"key{x}"), F.col("fp").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "root", *signs)))
+    # Similar sets have at most as many members in one of them alone as the sketches may differ in places.
+    most = f"{(1 - similarity) / (1 + similarity)!r} * (na + nb) + 1e-9"
+    can = F.expr(f"keya = keyb and a < b and roota <> rootb and {near} and {' + '.join(f'bit_count({c}a ^ {c}b)' for c in signs)} <= {most}")
+    new = scratch.keep(side("a").join(side("b"), can).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if new.isEmpty():
         return roots
     return joined_components(roots, verified(new), scratch)

@@ -559,3 +559,39 @@ def test_long_lines_do_not_meet_for_one_passage_alone(spark, monkeypatch):
     rows, pairs = _pairs_seen(linededup, monkeypatch, lambda: dedup_lines(docs))
     assert {r.doc_id for r in rows if r.n_dropped} == {150, 152}
     assert pairs < 150
+
+
+def test_unlike_sets_of_a_frequent_shingle_are_not_verified(spark, monkeypatch):
+    from parallaxis.llm import neardup
+
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(20)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(20))]) for _ in range(120)]
+    texts += [f"{texts[5]} more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, pairs = _pairs_seen(neardup, monkeypatch, lambda: drop_similar(docs))
+    assert sorted(r.doc_id for r in rows) == list(range(120))
+    assert pairs < 1000
+
+
+def test_sets_meet_by_simhash(spark):
+    from parallaxis.llm import neardup
+    from parallaxis.llm.runtime import Scratch
+
+    rng = random.Random(18)
+    sets = [[rng.getrandbits(64) for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    sets += [[*s, *(rng.getrandbits(64) for _ in range(rng.randint(1, 2)))] for s in sets[:40]] + [[]]
+    arrays = [np.unique(np.array(s, dtype=np.uint64)) for s in sets]
+    for s, a in zip(sets, arrays, strict=True):
+        assert int(neardup.set_simhash(a)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s))
+    # Sketches differ in no more places than there are members in one set alone.
+    for x, y in zip(arrays, arrays[60:], strict=False):
+        d = neardup.set_sketch(x) ^ neardup.set_sketch(y)
+        assert int(np.bitwise_count(d.view(np.uint64)).sum()) <= len(np.setxor1d(x, y))
+    hashes = [int(neardup.set_simhash(a).view(np.int64)) for a in arrays]
+    marks = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "fp long, sh long")
+    scratch = Scratch(spark)
+    got = {tuple(sorted((r.a, r.b))) for r in neardup._simhash_pairs(scratch, marks).toDF("a", "b").collect()}
+    scratch.clear()
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if bin((hashes[i] ^ hashes[j]) & (1 << 64) - 1).count("1") <= 3}
+    assert len(near) > 5 and groups(len(sets), got) == groups(len(sets), near)
