@@ -595,3 +595,18 @@ def test_sets_meet_by_simhash(spark):
     scratch.clear()
     near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if bin((hashes[i] ^ hashes[j]) & (1 << 64) - 1).count("1") <= 3}
     assert len(near) > 5 and groups(len(sets), got) == groups(len(sets), near)
+
+
+def test_a_passage_of_many_unlike_lines_makes_few_pairs(spark, monkeypatch):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(18)
+    word = lambda: f"word{rng.randrange(10**7)}x"
+    # Many of the lines have fewer than six blocks, so that no share of common blocks tells them apart.
+    passage = [word() for _ in range(16)]
+    lines = [[*(word() for _ in range(20)), *passage, *(word() for _ in range(20))] for _ in range(150)]
+    lines.append([*lines[7][:3], "other", *lines[7][4:]])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows, pairs = _pairs_seen(linededup, monkeypatch, lambda: dedup_lines(docs))
+    assert {r.doc_id for r in rows if r.n_dropped} == {150}
+    assert pairs < 1500
