@@ -610,3 +610,22 @@ def test_a_passage_of_many_unlike_lines_makes_few_pairs(spark, monkeypatch):
     rows, pairs = _pairs_seen(linededup, monkeypatch, lambda: dedup_lines(docs))
     assert {r.doc_id for r in rows if r.n_dropped} == {150}
     assert pairs < 1500
+
+
+def test_lines_of_near_simhashes_meet(spark, monkeypatch):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(19)
+    words = [[f"w{rng.randrange(10 * n)}" for _ in range(n)] for n in (5, 6, 62, 63, 64, 65, 66, 67, 68, 300, 18_000)] + [["the"] * 40 + ["a", "b", "c"]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    hashed = spark.createDataFrame([(w,) for line in words for w in set(line)], "w string").select("w", F.xxhash64("w").alias("h"))
+    h = {r.w: r.h % 2**64 for r in hashed.collect()}
+    wanted = [sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in set(line)) > len(set(line))) for line in words]
+    got = {r.id: r.sim % 2**64 for r in linededup.line_table(docs, "doc_id", "text", 5).collect()}
+    assert [got[i] for i in range(len(words))] == wanted
+    # Without any blocks of words, lines with equal or near SimHashes are still linked: the last word of a long line has few votes.
+    monkeypatch.setattr(linededup, "_blocks", lambda n: F.array().cast("array<bigint>"))
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
+    rows = [" ".join(w) for line in base for w in (line, [*line[:-2], line[-1], line[-2]])]
+    root = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [root[i] for i in range(60)] == [0, 1] * 30
