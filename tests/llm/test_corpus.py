@@ -629,3 +629,21 @@ def test_lines_of_near_simhashes_meet(spark, monkeypatch):
     rows = [" ".join(w) for line in base for w in (line, [*line[:-2], line[-1], line[-2]])]
     root = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [root[i] for i in range(60)] == [0, 1] * 30
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    import time
+
+    from parallaxis.llm.runtime import TIDY, Scratch
+
+    left = lambda: sum(1 for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f)
+    disk, before = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), spark.conf.get(TIDY, None)
+    spark.range(1000).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    assert left() > 0
+    start, scratch = left(), Scratch(spark)
+    assert scratch.keep(spark.range(1000).repartition(4, "id")).count() == 1000
+    scratch.clear()
+    end = time.time() + 20
+    while left() > start and time.time() < end:
+        time.sleep(0.2)
+    assert left() <= start and spark.conf.get(TIDY, None) == before
