@@ -647,3 +647,43 @@ def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
     while left() > start and time.time() < end:
         time.sleep(0.2)
     assert left() <= start and spark.conf.get(TIDY, None) == before
+
+
+def test_lines_that_meet_are_told_apart_by_characters_alone(spark):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(20)
+    word = lambda n: "".join(rng.choice("bcdfgklmnprstvz") for _ in range(n))
+    rows = []
+    for _ in range(20):  # four words in five are misspelt, which is one character in fourteen
+        base = [word(10) for _ in range(40)]
+        rows += [" ".join(base), " ".join([*base[:8], *(w[:4] + "q" + w[5:] for w in base[8:])])]
+    for _ in range(20):  # few words differ, but they are most of the line
+        base = [word(2) for _ in range(40)]
+        rows += [" ".join(word(30) if i % 7 == 3 else w for i, w in enumerate(base)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    blocks = {r.id: {b for b in r.blocks if b is not None} for r in linededup.line_table(docs, "doc_id", "text", 5).collect()}
+    met = [i for i in range(0, 80, 2) if blocks[i] & blocks[i + 1]]
+    alike = [i for i in met if edits(rows[i], rows[i + 1]) <= 0.2 * max(len(rows[i]), len(rows[i + 1]))]
+    assert len(alike) > 5 and len(met) - len(alike) > 5
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(docs).collect()}
+    assert {i for i in got if got[i]} == {i + 1 for i in alike}
+
+
+def test_steps_bound_the_edits_and_thin_lines_stay_below(spark):
+    from parallaxis.llm import linededup
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        a = "".join(rng.choice("abcd eqz\u00e9\u4e2d") for _ in range(rng.randint(1, 400)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "yy"])
+        rows.append((a, "".join(b)))
+    pairs = spark.createDataFrame(rows, "na string, nb string").selectExpr("*", "length(na) lena", "length(nb) lenb", *(f"translate(n{x}, '{linededup.THICK}', '') thin{x}" for x in "ab"))
+    for r in pairs.selectExpr("*", f"{linededup._steps()} steps", "levenshtein(thina, thinb) thin", f"{linededup._NEAR} near").collect():
+        d = edits(r.na, r.nb)
+        assert r.thin <= d <= r.steps
+        assert r.near == (d <= 0.2 * max(len(r.na), len(r.nb)) + 1e-9)
