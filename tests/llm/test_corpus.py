@@ -687,3 +687,34 @@ def test_steps_bound_the_edits_and_thin_lines_stay_below(spark):
         d = edits(r.na, r.nb)
         assert r.thin <= d <= r.steps
         assert r.near == (d <= 0.2 * max(len(r.na), len(r.nb)) + 1e-9)
+
+
+def test_only_lines_that_meet_are_joined_with_their_characters(spark, monkeypatch):
+    """What is written in order to compare lines pair by pair follows the lines that meet another one, and the table of all lines is gone by then."""
+    import os
+
+    from parallaxis.llm import linededup
+
+    rng = random.Random(41)
+    word = lambda: f"word{rng.randrange(10**7)}x"
+    passage = [word() for _ in range(6)]
+    # Lines that quote one passage and nothing else; short lines that quote it as well are the only ones to be compared with another.
+    lines = [[*(word() for _ in range(40)), *passage, *(word() for _ in range(40))] for _ in range(150)]
+    lines += [[*passage, "one", "two", "three"], [*passage, "one", "two", "four"]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    keep, verified, held, there = linededup.Scratch.keep, linededup._verified, {}, []
+
+    def counted(self, table):
+        out = keep(self, table)
+        held[tuple(table.columns)] = out.count(), self.paths[id(out)][1].removeprefix("file:")
+        return out
+
+    def watched(pairs, texts):
+        there.extend(path for columns, (_, path) in held.items() if "blocks" in columns and os.path.exists(path))
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(linededup.Scratch, "keep", counted)
+    monkeypatch.setattr(linededup, "_verified", watched)
+    assert {r.doc_id for r in dedup_lines(docs).collect() if r.n_dropped} == {151}
+    meet = [n for columns, (n, _) in held.items() if {"by", "root"} <= {*columns} and "many" not in columns]
+    assert any("blocks" in c for c in held) and not there and meet and max(meet) <= 4
